@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of texts to BATCH_ROWS rows; a smaller setting stays."""
+    """Hold Arrow batches of texts to BATCH_ROWS rows (a smaller setting stays), and let Python workers find this package."""
+    place, paths = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if place not in paths.get("PYTHONPATH", "").split(":"):
+        paths["PYTHONPATH"] = ":".join(filter(None, (place, paths.get("PYTHONPATH"))))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

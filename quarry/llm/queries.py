@@ -8,14 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, token_counts
+from . import chat, decontamination, licenses, packing, quality, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    out = toxicity.toxicity(docs, docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spoken = F.aggregate("mask", F.lit(0), lambda a, m: a + m["end"] - m["start"]).cast("long")
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.select("conv_id", "speaker", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.size("mask").cast("long").alias("n_spoken"), spoken.alias("spoken_chars"), spans.alias("mask"), "text")
+
+
+def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,6 +64,6 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op8_sampled_splitters, op9_simhash_covering, op10_sum_of_squares)
+    f.__name__: f for f in (op1_nnpu_toxicity, op2_randomness_secrets, op3_token_counts, op4_license_index, op5_perspective_rotation, op6_boosted_quality, op7_spaced_seeds, op8_sampled_splitters, op9_simhash_covering, op10_sum_of_squares)
 }
 ORACLE_SQL: dict[str, str] = {}
