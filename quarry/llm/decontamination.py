@@ -87,7 +87,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = rows.select("i", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
         rows = rows.select("i", F.transform("h", lambda h: F.when(h.isin(vocabulary), h)).alias("codes"))
         rows = rows.select("i", "codes", starts("codes").alias("at")).select("i", "codes", F.filter(seeds("codes", F.col("at")), lambda s: s["hash"].isin(known)).alias("seeds"))
-        rows = written(rows.where(F.size("seeds") > 0).withColumn("uid", F.monotonically_increasing_id()))
+        # the number, which no filter is pushed below, also keeps the arrays from being computed anew for each word
+        rows = written(rows.withColumn("uid", F.monotonically_increasing_id()).where(F.size("seeds") > 0))
     else:
         rows = rows.select("i", F.transform("w", lambda w: F.xxhash64(w)).alias("codes")).withColumn("uid", F.monotonically_increasing_id())
         rows = written(rows.select("i", "codes", "uid", seeds("codes", starts("codes")).alias("seeds")))

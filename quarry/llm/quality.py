@@ -13,12 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of_bytes, small_batches, written
+from .common import runs_of_bytes, small_batches
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -81,26 +80,35 @@ def statistics(text: bytes) -> np.ndarray:
     ])
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``carry``, the five base counts (longs) and ``features`` (doubles) of every document.
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), forest: Forest | None = None) -> DataFrame:
+    """``id_col``, ``carry``, the five base counts (longs) and ``features`` of every document.
 
-    A null text has no word. Nothing is shuffled.
+    With a ``forest`` there is its score, ``quality``, in place of the features. A
+    null text has no word. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    kept = [id_col, *carry]
+    kept = [id_col, *(c for c in carry if c != text_col)]
     names = [f"k{n}" for n in range(len(kept))]
+    last = ("features", "array<double>") if forest is None else ("quality", "double")
+    text_too = text_col in carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
                 rows = np.array([statistics(t) if t else BLANK for t in part.column("t").to_pylist()])
-                features = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * len(FEATURES) + 1, len(FEATURES)), pa.int32()), pa.array(rows[:, len(BASE) :].ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(rows[:, k].astype(np.int64)) for k in range(len(BASE))), features], [*names, *BASE, "features"])
+                features = rows[:, len(BASE) :]
+                if forest is None:
+                    found = pa.ListArray.from_arrays(pa.array(np.arange(0, features.size + 1, features.shape[1]), pa.int32()), pa.array(features.ravel()))
+                else:
+                    found = pa.array(forest.scores(features))
+                own = [*names, *(["t"] if text_too else [])]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in own), *(pa.array(rows[:, k].astype(np.int64)) for k in range(len(BASE))), found], [*own, *BASE, last[0]])
 
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names)), F.col(text_col).cast("binary").alias("t"))
-    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, kept)), *(f"{b} long" for b in BASE), "features array<double>"])
-    return rows.mapInArrow(run, schema).select(*(F.col(n).alias(c) for c, n in zip(kept, names)), *BASE, "features")
+    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, kept)), *(["t binary"] if text_too else []), *(f"{b} long" for b in BASE), " ".join(last)])
+    out = rows.mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(kept, names)), *([F.col("t").cast("string").alias(text_col)] if text_too else []), *BASE, last[0])
 
 
 @dataclass
@@ -186,39 +194,31 @@ def grow(x: np.ndarray, y: np.ndarray, direction: np.ndarray, trees: int = 80, d
     return Forest(depth, base, np.array(out_f), np.array(out_t), np.array(out_v))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = 20_000, seed: int = 11) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, seed: int = 11) -> Forest:
     """A forest from the statistics of labelled documents, about ``most`` of them at most.
 
     The sample is drawn by a hash of the id: with a chance that makes ``most`` rows
-    likely, so that what reaches the driver doesn't grow with the corpus.
+    likely, so that what is broadcast and what reaches the driver don't grow with the
+    corpus. Statistics are taken of the sampled documents alone.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l")).agg(F.min(label_col).alias("y"))
     n = known.count()
     chance = F.pmod(F.xxhash64(F.lit(seed), "l"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most / max(n, 1))))
-    sample = stats.join(known.where(chance), F.col(id_col) == F.col("l")).select("features", "y").toPandas()
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    sample = document_statistics(own.join(F.broadcast(known.where(chance)), F.col("i") == F.col("l")), "i", "t", ("y",)).select("i", "features", "y").toPandas()
+    sample = sample.sort_values("i", kind="stable")
     x = np.array(sample["features"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
     return grow(x, sample["y"].to_numpy(dtype=np.float64), np.array(list(FEATURES.values())))
 
 
-def score(stats: DataFrame, forest: Forest, keep_from: float = 0.5) -> DataFrame:
-    """``stats`` with ``base_failed``, ``quality`` (0 to 1) and ``kept`` in place of the features."""
-
-    @F.pandas_udf("double")
-    def quality(features: pd.Series) -> pd.Series:
-        x = np.array(features.tolist(), dtype=np.float64).reshape(len(features), len(FEATURES))
-        return pd.Series(forest.scores(x))
-
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumn("quality", quality("features")).withColumns({"base_failed": failed, "kept": ~failed & (F.col("quality") >= keep_from)}).drop("features")
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``carry``, base counts, ``quality``, ``base_failed``, ``kept``.
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000, carry: tuple[str, ...] = (), keep_from: float = 0.5) -> DataFrame:
+    """One row per document: id, ``carry``, base counts, ``quality`` (0 to 1), ``base_failed``, ``kept``.
 
     Documents that fail the base rules are never kept, others as the trees say. Null
     and empty texts have no word and fail. Null ids and repeated rows are kept; an
     empty table gives an empty result; without labels every document that passes the
-    base rules is kept.
+    base rules is kept. Other columns are left out. Nothing is shuffled but the labels.
     """
-    stats = written(document_statistics(docs, id_col, text_col, carry))
-    return score(stats, fit(stats, labels, id_col, most=most))
+    stats = document_statistics(docs, id_col, text_col, carry, fit(docs, labels, id_col, text_col, most=most))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stats.withColumns({"base_failed": failed, "kept": ~failed & (F.col("quality") >= keep_from)})

@@ -10,7 +10,8 @@ No pair within the radius can be missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -62,48 +63,57 @@ def hashes(text: bytes, words: int) -> list[int]:
     return [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``carry`` and ``fingerprint`` (a long) of every document; without a word it is 0.
+def remixed(values: np.ndarray) -> np.ndarray:
+    """Other hashes from hashes (the finaliser of splitmix64), for a second fingerprint."""
+    v = values + np.uint64(0x9E3779B97F4A7C15)
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, second: bool = False) -> DataFrame:
+    """``id_col`` and ``fingerprint`` (a long) of every document, with ``second`` another one; without a word they are 0.
 
     A null text has no word. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
-    kinds = dict(docs.dtypes)
-    kept = [id_col, *carry]
-    names = [f"k{n}" for n in range(len(kept))]
+    names = ["i", "fingerprint", *(["second"] if second else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
                 found = [hashes(t, words) if t else [] for t in part.column("t").to_pylist()]
                 flat = np.fromiter((h for hs in found for h in hs), np.uint64, sum(map(len, found)))
-                bits = votes(flat, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(bits.view(np.int64))], [*names, "fingerprint"])
+                ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+                bits = [votes(v, ends) for v in ([flat, remixed(flat)] if second else [flat])]
+                yield pa.RecordBatch.from_arrays([part.column("i"), *(pa.array(b.view(np.int64)) for b in bits)], names)
 
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names)), F.col(text_col).cast("binary").alias("t"))
-    out = rows.mapInArrow(run, ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, kept)) + ", fingerprint long")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(kept, names)), "fingerprint")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, f"i {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("i", id_col)
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """``a``, ``b``: links that join all of ``prints`` (distinct longs ``fp``) within ``radius`` bits.
+def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None, spare: int = 0) -> DataFrame:
+    """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``fp``, ``other``: longs) within ``radius`` bits.
 
-    A table's small buckets give their pairs within the radius. The fingerprints of
-    large buckets are not compared with one another but meet at values near them.
+    The tables are those of the radius ``radius + spare``. A table's small buckets
+    give the pairs that ``accept`` (by default: ``radius`` bits at most) takes. The
+    fingerprints of large buckets are not compared with one another but meet at
+    values near them.
     """
-    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(radius))))).alias("t")
-    dealt = prints.select("fp", tables).select("fp", "t.table", "t.bucket")
+    accept = accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius)
+    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(radius + spare))))).alias("t")
+    dealt = prints.select("node", "fp", "other", tables).select("node", "fp", "other", "t.table", "t.bucket")
     sizes = dealt.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(dealt.join(sizes, ["table", "bucket"]).select("fp", "table", "bucket", "n"))
+    shared = written(dealt.join(sizes, ["table", "bucket"]).select("node", "fp", "other", "table", "bucket", "n"))
 
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("table", "bucket").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: distance(a, b) <= radius), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("table", "bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "other"))).alias("fps"))
+    later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: accept(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b"))))
     near = small.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
-    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("fp").distinct(), radius))
+    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "fp").distinct(), radius))
 
 
 def meetings(prints: DataFrame, radius: int) -> DataFrame:
@@ -113,32 +123,57 @@ def meetings(prints: DataFrame, radius: int) -> DataFrame:
     and, for an odd radius, those at k + 1 bits (outer). Two that differ in at most
     ``radius`` bits meet at a value, one of them as inner; and whoever meets an inner
     one at a value is within the radius of it. So the least inner one of each value
-    is linked with all others there. A value has few of them: what lies within k + 1
-    bits of it, whatever the size of the bucket.
+    is linked with all others there. A value has few different fingerprints: what
+    lies within k + 1 bits of it, whatever the size of the bucket.
     """
     k, odd = divmod(radius, 2)
     flips = [(sum(1 << b for b in bits), n <= k) for n in range(k + odd + 1) for bits in combinations(range(BITS), n)]
     near = F.array(*(F.struct(F.col("fp").bitwiseXOR(F.lit(v - (1 << BITS) if v >> (BITS - 1) else v)).alias("value"), F.lit(inner).alias("inner")) for v, inner in flips))
-    named = prints.select("fp", F.explode(near).alias("v")).select("fp", "v.value", "v.inner")
-    met = named.groupBy("value").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("fps")).where((F.size("fps") > 1) & F.col("a").isNotNull())
-    return met.select("a", F.explode("fps").alias("b")).where("a <> b")
+    named = prints.select("node", F.explode(near).alias("v")).select("node", "v.value", "v.inner")
+    met = named.groupBy("value").agg(F.min(F.when(F.col("inner"), F.col("node"))).alias("a"), F.collect_set("node").alias("nodes")).where((F.size("nodes") > 1) & F.col("a").isNotNull())
+    return met.select("a", F.explode("nodes").alias("b")).where("a <> b")
+
+
+def grouped(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``prints`` with ``component_id``, the least id that the links in ``found`` reach."""
+    labels = connected_components(found)
+    of_node = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    roots = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the last join are dealt out by it, and a fingerprint with many copies can be split
+    component = written(of_node.join(roots, "label").select(F.col("fp").alias("fingerprint"), "component_id"))
+    return prints.join(component, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: its id, ``carry``, ``fingerprint`` (a long) and ``component_id``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """One row per document: its id, ``fingerprint`` (a long) and ``component_id``.
 
     Documents are linked if their fingerprints differ in ``radius`` bits or fewer;
     ``component_id`` is the smallest id that links reach, itself included. Texts
     without a word (null ones too) have fingerprint 0 and are linked like any other.
     Copies are one node of the graph, whatever their number. Null ids never are the
     smallest unless a component has no other; repeated rows are kept; an empty table
-    gives an empty result.
+    gives an empty result; other columns are left out.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, carry))
+    prints = written(fingerprints(docs, id_col, text_col, words))
     nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least")))
-    labels = connected_components(links(nodes.select("fp"), radius))
-    of_node = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    roots = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
-    # written, so that both sides of the last join are dealt out by it, and a fingerprint with many copies can be split
-    found = written(of_node.join(roots, "label").select(F.col("fp").alias("fingerprint"), "component_id"))
-    return prints.join(found, "fingerprint").select(id_col, *carry, "fingerprint", "component_id")
+    found = links(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius)
+    return grouped(prints, nodes, found, id_col)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, spare: int = 1, similarity: float = 0.8) -> DataFrame:
+    """Like ``near_duplicates``, for the similarity of sets of word shingles in place of a radius.
+
+    Every document has two fingerprints of 64 bits. Candidates are what the tables of
+    either bring together; they are linked if the two fingerprints together say that
+    the Jaccard similarity is ``similarity`` or more: sets with Jaccard similarity j
+    are at the angle whose cosine is 2 j / (1 + j), and bits differ in proportion to
+    the angle. Whatever is within ``radius`` bits in one of them is linked, even in
+    buckets of any size. Nulls, copies and repeated rows are as in ``near_duplicates``.
+    """
+    most = int(2 * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    prints = written(fingerprints(docs, id_col, text_col, words, second=True))
+    nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"), F.min("second").alias("second")))
+    close = lambda a, b: distance(a["fp"], b["fp"]) + distance(a["other"], b["other"]) <= most
+    one = links(nodes.select(F.col("fp").alias("node"), "fp", F.col("second").alias("other")), radius, close, spare)
+    two = links(nodes.select(F.col("fp").alias("node"), F.col("second").alias("fp"), F.col("fp").alias("other")), radius, close, spare)
+    return grouped(prints.drop("second"), nodes, one.unionByName(two), id_col)
