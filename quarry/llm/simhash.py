@@ -96,24 +96,32 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None, spare: int = 0) -> DataFrame:
+def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None, reach: int | None = None) -> DataFrame:
     """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``fp``, ``other``: longs) within ``radius`` bits.
 
-    The tables are those of the radius ``radius + spare``. A table's small buckets
-    give the pairs that ``accept`` (by default: ``radius`` bits at most) takes. The
-    fingerprints of large buckets are not compared with one another but meet at
-    values near them.
+    A table's small buckets give their pairs within the radius. The fingerprints of
+    large buckets are not compared with one another but meet at values near them.
+    With ``accept``, a rule for two structs of (fp, node, other), the tables are those
+    of the radius ``reach``: small buckets give the pairs that it takes, and in a
+    large one each is also held against one of the bucket, another in every table.
     """
-    accept = accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius)
-    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(radius + spare))))).alias("t")
+    rule = accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius)
+    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(reach or radius))))).alias("t")
     dealt = prints.select("node", "fp", "other", tables).select("node", "fp", "other", "t.table", "t.bucket")
     sizes = dealt.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(dealt.join(sizes, ["table", "bucket"]).select("node", "fp", "other", "table", "bucket", "n"))
 
     small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("table", "bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "other"))).alias("fps"))
-    later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: accept(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b"))))
+    later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: rule(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b"))))
     near = small.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
-    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "fp").distinct(), radius))
+    large = shared.where(F.col("n") > SMALL_BUCKET)
+    near = near.unionByName(meetings(large.select("node", "fp").distinct(), radius))
+    if accept is None:
+        return near
+    chosen = large.groupBy("table", "bucket").agg(F.min_by(F.struct("fp", "node", "other"), F.xxhash64("table", "node")).alias("x"))
+    own = F.struct("fp", "node", "other").alias("own")
+    stars = large.select("table", "bucket", own).join(chosen, ["table", "bucket"]).where(accept(F.col("x"), F.col("own")))
+    return near.unionByName(stars.select(F.col("x.node").alias("a"), F.col("own.node").alias("b")).where("a <> b"))
 
 
 def meetings(prints: DataFrame, radius: int) -> DataFrame:
@@ -127,9 +135,9 @@ def meetings(prints: DataFrame, radius: int) -> DataFrame:
     lies within k + 1 bits of it, whatever the size of the bucket.
     """
     k, odd = divmod(radius, 2)
-    flips = [(sum(1 << b for b in bits), n <= k) for n in range(k + odd + 1) for bits in combinations(range(BITS), n)]
-    near = F.array(*(F.struct(F.col("fp").bitwiseXOR(F.lit(v - (1 << BITS) if v >> (BITS - 1) else v)).alias("value"), F.lit(inner).alias("inner")) for v, inner in flips))
-    named = prints.select("node", F.explode(near).alias("v")).select("node", "v.value", "v.inner")
+    flips = [sum(1 << b for b in bits) for n in range(k + odd + 1) for bits in combinations(range(BITS), n)]
+    near = F.split(F.lit(",".join(str(v - (1 << BITS) if v >> (BITS - 1) else v) for v in flips)), ",").cast("array<long>")
+    named = prints.select("node", "fp", F.explode(near).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), (F.bit_count("flip") <= k).alias("inner"))
     met = named.groupBy("value").agg(F.min(F.when(F.col("inner"), F.col("node"))).alias("a"), F.collect_set("node").alias("nodes")).where((F.size("nodes") > 1) & F.col("a").isNotNull())
     return met.select("a", F.explode("nodes").alias("b")).where("a <> b")
 
@@ -160,20 +168,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(prints, nodes, found, id_col)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, spare: int = 1, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, reach: int = 5, similarity: float = 0.8) -> DataFrame:
     """Like ``near_duplicates``, for the similarity of sets of word shingles in place of a radius.
 
     Every document has two fingerprints of 64 bits. Candidates are what the tables of
     either bring together; they are linked if the two fingerprints together say that
     the Jaccard similarity is ``similarity`` or more: sets with Jaccard similarity j
     are at the angle whose cosine is 2 j / (1 + j), and bits differ in proportion to
-    the angle. Whatever is within ``radius`` bits in one of them is linked, even in
-    buckets of any size. Nulls, copies and repeated rows are as in ``near_duplicates``.
+    the angle. A pair that is within ``reach`` bits in one of them meets in a bucket
+    for certain, a pair beyond that often does. Buckets of more than SMALL_BUCKET are
+    not compared pair by pair: there, what is within ``radius`` bits in one of them is
+    linked for certain, the rest by the one that each table picks. Nulls, copies and repeated rows are as in ``near_duplicates``.
     """
     most = int(2 * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     prints = written(fingerprints(docs, id_col, text_col, words, second=True))
     nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"), F.min("second").alias("second")))
     close = lambda a, b: distance(a["fp"], b["fp"]) + distance(a["other"], b["other"]) <= most
-    one = links(nodes.select(F.col("fp").alias("node"), "fp", F.col("second").alias("other")), radius, close, spare)
-    two = links(nodes.select(F.col("fp").alias("node"), F.col("second").alias("fp"), F.col("fp").alias("other")), radius, close, spare)
+    one = links(nodes.select(F.col("fp").alias("node"), "fp", F.col("second").alias("other")), radius, close, reach)
+    two = links(nodes.select(F.col("fp").alias("node"), F.col("second").alias("fp"), F.col("fp").alias("other")), radius, close, reach)
     return grouped(prints.drop("second"), nodes, one.unionByName(two), id_col)
