@@ -83,20 +83,17 @@ class TwoGenerations:
         if len(self.have) > self.limit:
             self.old, self.have = self.have, {}
         have, old = self.have, self.old
-        missing = []
-        for key in keys - have.keys():
-            value = old.get(key)
-            if value is None:
-                missing.append(key)
-            else:
-                have[key] = value
+        missing = keys - have.keys()
+        if old:
+            back = missing & old.keys()
+            have.update((k, old[k]) for k in back)
+            missing -= back
         if not missing:
             return have
-        found = dict(zip(missing, self.compute(missing)))
-        long = {k: v for k, v in found.items() if len(k) > self.longest}
-        for k, v in found.items():
-            if k not in long:
-                have[k] = v
+        order = list(missing)
+        found = dict(zip(order, self.compute(order)))
+        long = {k: found.pop(k) for k in order if len(k) > self.longest}
+        have.update(found)
         return _Both(have, long) if long else have
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import TwoGenerations, runs_of_bytes, small_batches
 
-KEPT_CHUNKS = 250_000
+#: Chunks whose ids one worker keeps, in each of two generations.
+KEPT_CHUNKS = 400_000
 #: Bits of a sequence id below the partition's number.
 LOCAL_BITS = 40
 
@@ -46,12 +47,16 @@ class ChunkEncoder:
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         out = []
         for lo in range(0, len(chunks), 4096):
-            got = self.model.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks[lo : lo + 4096]], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+            part = [c.decode("utf-8", "replace") for c in chunks[lo : lo + 4096]]
+            got = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
+        # the tokenizer lower-cases; A-Z beforehand saves chunks, but the strings of special tokens are matched as they stand
+        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
         ids = self.cache.load(set().union(*parts) if parts else set())
         return [b"".join(map(ids.__getitem__, p)) for p in parts]
 

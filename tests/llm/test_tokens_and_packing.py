@@ -72,7 +72,7 @@ def test_packing_is_a_round_trip(spark, sf_dir, texts):
 
 
 def test_packing_awkward_texts(spark, clashing, nothing):
-    texts = {1: None, 2: "", 3: "<|startoftext|> a <|endoftext|>", 4: "don't Å Å it's 12 ab12", 5: "x" * 9000, 6: "z " * 9000, 7: "\x1cq\x85w　e ﻿"}
+    texts = {1: None, 2: "", 3: "<|startoftext|> a <|endoftext|>", 4: "don't Å Å it's 12 ab12", 5: "x" * 9000, 6: "z " * 9000, 7: "\x1cq\x85w　e ﻿", 8: "x<|endoftext|>y <|ENDOFTEXT|> Z", 9: "\u200b \u0301 É É ΣΑΣ İ K", 10: "UPPER Lower\nÇA d'I'LL"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check_packed(packing.pack(df, WORD).collect(), texts)
     assert packing.pack(clashing, WORD).where("start = 0").count() == 14
