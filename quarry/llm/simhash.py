@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -114,32 +115,45 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None, reach: int | None = None) -> DataFrame:
-    """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``fp``, ``other``: longs) within ``radius`` bits.
-
-    A table's small buckets give their pairs within the radius. The fingerprints of
-    large buckets are not compared with one another but meet at values near them.
-    With ``accept``, a rule for two structs of (fp, node, other), the tables are those
-    of the radius ``reach``: small buckets give the pairs that it takes, and in a
-    large one each is also held against one of the bucket, another in every table.
-    """
-    rule = accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius)
-    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(reach or radius))))).alias("t")
+def bucketed(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints`` once for each table of the radius in which its bucket has company, with ``table``, ``bucket`` and ``n``, the bucket's size."""
+    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(radius))))).alias("t")
     dealt = prints.select("node", "fp", "other", tables).select("node", "fp", "other", "t.table", "t.bucket")
     sizes = dealt.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(dealt.join(sizes, ["table", "bucket"]).select("node", "fp", "other", "table", "bucket", "n"))
+    return written(dealt.join(sizes, ["table", "bucket"]).select("node", "fp", "other", "table", "bucket", "n"))
+
 
+def pairs_in_small(shared: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
+    """``a``, ``b``: the pairs of small buckets that ``rule`` takes."""
     small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("table", "bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "other"))).alias("fps"))
     later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: rule(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b"))))
-    near = small.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
+    return small.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
+
+
+def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``fp``, ``other``: longs) within ``radius`` bits.
+
+    A table's small buckets give their pairs within the radius, or those that
+    ``accept``, a rule for two structs of (fp, node, other), takes. The fingerprints
+    of large buckets are not compared with one another but meet at values near them.
+    """
+    shared = bucketed(prints, radius)
+    near = pairs_in_small(shared, accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius))
+    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "fp", "other").distinct(), radius, accept))
+
+
+def far_links(prints: DataFrame, reach: int, accept: Callable[[Column, Column], Column]) -> DataFrame:
+    """Links that ``accept`` takes, from the tables of the radius ``reach``.
+
+    Small buckets give their pairs; in a large one each is held against one of the
+    bucket, another in every table.
+    """
+    shared = bucketed(prints, reach)
     large = shared.where(F.col("n") > SMALL_BUCKET)
-    near = near.unionByName(meetings(large.select("node", "fp", "other").distinct(), radius, accept))
-    if accept is None:
-        return near
     chosen = large.groupBy("table", "bucket").agg(F.min_by(F.struct("fp", "node", "other"), F.xxhash64("table", "node")).alias("x"))
     own = F.struct("fp", "node", "other").alias("own")
     stars = large.select("table", "bucket", own).join(chosen, ["table", "bucket"]).where(accept(F.col("x"), F.col("own")))
-    return near.unionByName(stars.select(F.col("x.node").alias("a"), F.col("own.node").alias("b")).where("a <> b"))
+    return pairs_in_small(shared, accept).unionByName(stars.select(F.col("x.node").alias("a"), F.col("own.node").alias("b")).where("a <> b"))
 
 
 def meetings(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -198,8 +212,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     give or take a standard error: sets with Jaccard similarity j are at the angle
     whose cosine is 2 j / (1 + j), and bits differ in proportion to the angle. A pair
     within ``reach`` bits in one of the two meets in a bucket for certain, a pair beyond that often does. Buckets of more than SMALL_BUCKET are not
-    compared pair by pair: there, what is within ``radius`` bits meets for certain,
-    the rest by the one that each table picks. Nulls, copies and repeated rows are as
+    compared pair by pair: whatever their size, what is within ``radius`` bits meets
+    for certain, the rest by the one that each table picks. Nulls, copies and repeated rows are as
     in ``near_duplicates``.
     """
     share = lambda j: math.acos(2 * j / (1 + j)) / math.pi
@@ -207,8 +221,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = written(fingerprints(docs, id_col, text_col, words, finer))
     nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"), F.min(F.struct("more", "fine", "fine2")).alias("x")).select("fp", "least", "x.*"))
     near = lambda a, b: distance(a["node"], b["node"]) + distance(a["other"], b["other"]) <= loose
-    pairs = [links(nodes.select(F.col("fp").alias("node"), F.col(c).alias("fp"), F.get("more", F.lit(0)).alias("other")), radius, near, reach) for c in ("fine", "fine2")]
-    pairs = written(pairs[0].unionByName(pairs[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    fine = [nodes.select(F.col("fp").alias("node"), F.col(c).alias("fp"), F.get("more", F.lit(0)).alias("other")) for c in ("fine", "fine2")]
+    pairs = reduce(DataFrame.unionByName, [f for x in fine for f in (links(x, radius, near), far_links(x, reach, near))])
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     bits = lambda n: nodes.select(F.col("fp").alias(n), F.concat(F.array("fp"), "more").alias(f"bits_{n}"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", distance), F.lit(0), lambda total, n: total + n)
     found = pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= most).select("a", "b")
