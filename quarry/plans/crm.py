@@ -465,7 +465,7 @@ def page_totals(spark, d):
 
 @query("SELECT r.pos, c_custkey, c_name FROM (SELECT unnest([7, 3, 999999999, 11, 5]) AS k, generate_subscripts([7, 3, 999999999, 11, 5], 1) - 1 AS pos) r JOIN customer ON c_custkey = k")
 def in_requested_order(spark, d):
-    asked = spark.range(1).select(F.posexplode(F.array(*map(F.lit, (7, 3, 999999999, 11, 5)))).alias("pos", "c_custkey")).withColumn("pos", F.col("pos").cast("long"))
+    asked = spark.range(1).select(F.posexplode(F.array(*map(F.lit, (7, 3, 999999999, 11, 5))).cast("array<long>")).alias("pos", "c_custkey")).withColumn("pos", F.col("pos").cast("long"))
     return latest.in_requested_order(table(spark, d, "customer").select("c_custkey", "c_name"), asked, "c_custkey").select("pos", "c_custkey", "c_name")
 
 
