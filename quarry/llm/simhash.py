@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +27,8 @@ BITS = 64
 SMALL_BUCKET = 16
 #: Further fingerprints by which the similarity of two sets of shingles is told: with the first, 384 bits, a standard error of 0.02 at 0.8.
 MORE, ERROR = 5, 0.02
+#: Fingerprints of finer shingles in whose tables candidates meet.
+FINE = 4
 
 
 def masks(radius: int) -> list[int]:
@@ -77,31 +78,46 @@ def remixed(values: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, finer: int = 0) -> DataFrame:
     """``id_col`` and ``fingerprint`` (a long) of every document; without a word it is 0.
 
-    With ``finer`` also ``fine`` and ``fine2``, from two hashes of shingles of ``finer``
-    words, and ``more``, an array of MORE fingerprints from other hashes of the first
-    shingles. A null text has no word. Nothing is shuffled.
+    With ``finer`` also ``key``, a hash of the text, ``fine``, an array of FINE
+    fingerprints from different hashes of shingles of ``finer`` words, and ``more``,
+    one of MORE from other hashes of the first shingles. A null text has no word.
+    Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
-    names = ["i", "fingerprint", *(["fine", "fine2", "more"] if finer else [])]
+    names = ["i", "fingerprint", *(["key", "fine", "more"] if finer else [])]
+
+    def several(values: np.ndarray, ends: np.ndarray, n: int) -> pa.Array:
+        found = []
+        for _ in range(n):
+            found.append(votes(values, ends).view(np.int64))
+            values = remixed(values)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(ends) + 1, n), pa.int32()), pa.array(np.stack(found, axis=1).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
                 texts = part.column("t").to_pylist()
                 flat, ends = ragged(texts, words)
-                columns = [pa.array(votes(flat, ends).view(np.int64))]
+                columns = [part.column("i"), pa.array(votes(flat, ends).view(np.int64))]
                 if finer:
-                    others = []
-                    for _ in range(MORE):
-                        flat = remixed(flat)
-                        others.append(votes(flat, ends).view(np.int64))
-                    more = pa.ListArray.from_arrays(pa.array(np.arange(0, MORE * len(texts) + 1, MORE), pa.int32()), pa.array(np.stack(others, axis=1).ravel()))
-                    flat, ends = ragged(texts, finer)
-                    columns += [*(pa.array(votes(v, ends).view(np.int64)) for v in (flat, remixed(flat))), more]
-                yield pa.RecordBatch.from_arrays([part.column("i"), *columns], names)
+                    columns += [part.column("key"), several(*ragged(texts, finer), FINE), several(remixed(flat), ends, MORE)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"), *([F.xxhash64(text_col).alias("key")] if finer else []))
+    return rows.mapInArrow(run, f"i {dict(docs.dtypes)[id_col]}, fingerprint long" + (", key long, fine array<long>, more array<long>" if finer else "")).withColumnRenamed("i", id_col)
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"i {dict(docs.dtypes)[id_col]}, fingerprint long" + (", fine long, fine2 long, more array<long>" if finer else "")).withColumnRenamed("i", id_col)
+
+def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> DataFrame:
+    """``carry`` (a long) and ``shingles``, the different hashes of the text's shingles, of every row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs_of_bytes(batch, "t"):
+                sets = [np.unique(np.array(hashes(t, words) if t else [], np.uint64)).view(np.int64) for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(carry), pa.array(sets, pa.list_(pa.int64()))], [carry, "shingles"])
+
+    return docs.select(carry, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{carry} long, shingles array<long>")
 
 
 def ragged(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,28 +134,28 @@ def distance(a: Column, b: Column) -> Column:
 def bucketed(prints: DataFrame, radius: int) -> DataFrame:
     """``prints`` once for each table of the radius in which its bucket has company, with ``table``, ``bucket`` and ``n``, the bucket's size."""
     tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(radius))))).alias("t")
-    dealt = prints.select("node", "fp", "other", tables).select("node", "fp", "other", "t.table", "t.bucket")
-    sizes = dealt.groupBy("table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return written(dealt.join(sizes, ["table", "bucket"]).select("node", "fp", "other", "table", "bucket", "n"))
+    dealt = prints.select("node", "kind", "fp", "other", tables).select("node", "kind", "fp", "other", "t.table", "t.bucket")
+    sizes = dealt.groupBy("kind", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return written(dealt.join(sizes, ["kind", "table", "bucket"]).select("node", "kind", "fp", "other", "table", "bucket", "n"))
 
 
 def pairs_in_small(shared: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
     """``a``, ``b``: the pairs of small buckets that ``rule`` takes."""
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("table", "bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "other"))).alias("fps"))
+    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("kind", "table", "bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "other"))).alias("fps"))
     later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: rule(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b"))))
     return small.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
 
 
 def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``fp``, ``other``: longs) within ``radius`` bits.
+    """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``kind``, ``fp``, ``other``: longs) within ``radius`` bits.
 
-    A table's small buckets give their pairs within the radius, or those that
+    Only fingerprints of one kind meet. A table's small buckets give their pairs within the radius, or those that
     ``accept``, a rule for two structs of (fp, node, other), takes. The fingerprints
     of large buckets are not compared with one another but meet at values near them.
     """
     shared = bucketed(prints, radius)
     near = pairs_in_small(shared, accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius))
-    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "fp", "other").distinct(), radius, accept))
+    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "kind", "fp", "other").distinct(), radius, accept))
 
 
 def far_links(prints: DataFrame, reach: int, accept: Callable[[Column, Column], Column]) -> DataFrame:
@@ -150,9 +166,9 @@ def far_links(prints: DataFrame, reach: int, accept: Callable[[Column, Column],
     """
     shared = bucketed(prints, reach)
     large = shared.where(F.col("n") > SMALL_BUCKET)
-    chosen = large.groupBy("table", "bucket").agg(F.min_by(F.struct("fp", "node", "other"), F.xxhash64("table", "node")).alias("x"))
+    chosen = large.groupBy("kind", "table", "bucket").agg(F.min_by(F.struct("fp", "node", "other"), F.xxhash64("table", "node")).alias("x"))
     own = F.struct("fp", "node", "other").alias("own")
-    stars = large.select("table", "bucket", own).join(chosen, ["table", "bucket"]).where(accept(F.col("x"), F.col("own")))
+    stars = large.select("kind", "table", "bucket", own).join(chosen, ["kind", "table", "bucket"]).where(accept(F.col("x"), F.col("own")))
     return pairs_in_small(shared, accept).unionByName(stars.select(F.col("x.node").alias("a"), F.col("own.node").alias("b")).where("a <> b"))
 
 
@@ -170,8 +186,8 @@ def meetings(prints: DataFrame, radius: int, accept: Callable[[Column, Column],
     k, odd = divmod(radius, 2)
     flips = [sum(1 << b for b in bits) for n in range(k + odd + 1) for bits in combinations(range(BITS), n)]
     near = F.split(F.lit(",".join(str(v - (1 << BITS) if v >> (BITS - 1) else v) for v in flips)), ",").cast("array<long>")
-    named = prints.select(F.struct("node", "fp", "other").alias("own"), F.explode(near).alias("flip")).select("own", F.col("own.fp").bitwiseXOR(F.col("flip")).alias("value"), (F.bit_count("flip") <= k).alias("inner"))
-    met = named.groupBy("value").agg(F.min(F.when(F.col("inner"), F.col("own"))).alias("a"), F.collect_set("own").alias("all")).where((F.size("all") > 1) & F.col("a").isNotNull())
+    named = prints.select("kind", F.struct("node", "fp", "other").alias("own"), F.explode(near).alias("flip")).select("kind", "own", F.col("own.fp").bitwiseXOR(F.col("flip")).alias("value"), (F.bit_count("flip") <= k).alias("inner"))
+    met = named.groupBy("kind", "value").agg(F.min(F.when(F.col("inner"), F.col("own"))).alias("a"), F.collect_set("own").alias("all")).where((F.size("all") > 1) & F.col("a").isNotNull())
     met = met.select("a", F.explode("all").alias("b"))
     return (met.where(accept(F.col("a"), F.col("b"))) if accept else met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).where("a <> b")
 
@@ -198,33 +214,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(fingerprints(docs, id_col, text_col, words))
     nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least")))
-    found = links(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other")), radius)
+    found = links(nodes.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other"), F.lit(0).alias("kind")), radius)
     return grouped(prints, nodes, found, id_col)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, reach: int = 5, finer: int = 2, similarity: float = 0.8) -> DataFrame:
     """Like ``near_duplicates``, for the similarity of sets of word shingles in place of a radius.
 
-    Every document has six fingerprints of its shingles and two of its shingles of
+    Every document has six fingerprints of its shingles and FINE of its shingles of
     ``finer`` words, fewer bits of which change when a word is replaced. Candidates
-    are what the tables of these two bring together; they are linked
-    if the six, 384 bits, say that the Jaccard similarity is ``similarity`` or more,
-    give or take a standard error: sets with Jaccard similarity j are at the angle
-    whose cosine is 2 j / (1 + j), and bits differ in proportion to the angle. A pair
-    within ``reach`` bits in one of the two meets in a bucket for certain, a pair beyond that often does. Buckets of more than SMALL_BUCKET are not
-    compared pair by pair: whatever their size, what is within ``radius`` bits meets
-    for certain, the rest by the one that each table picks. Nulls, copies and repeated rows are as
-    in ``near_duplicates``.
+    are what the tables of the latter bring together. Sets with Jaccard similarity j
+    are at the angle whose cosine is 2 j / (1 + j), and bits differ in proportion to
+    the angle: where the six, 384 bits, tell a candidate's similarity from
+    ``similarity`` by four standard errors, they decide, elsewhere the sets
+    themselves are compared. A pair within ``reach`` bits in one of the finer ones
+    meets in a bucket for certain, a pair beyond that often does. Buckets of more
+    than SMALL_BUCKET are not compared pair by pair: whatever their size, what is
+    within ``radius`` bits meets for certain, the rest by the one that each table
+    picks. Nulls, copies and repeated rows are as in ``near_duplicates``.
     """
-    share = lambda j: math.acos(2 * j / (1 + j)) / math.pi
-    loose, most = int(2 * BITS * share(similarity - 0.1)), int((1 + MORE) * BITS * share(similarity - ERROR))
+    at = lambda n, j: int(n * BITS * math.acos(2 * j / (1 + j)) / math.pi)
+    loose, sure, most = at(2, similarity - 0.2), at(1 + MORE, min(1.0, similarity + 4 * ERROR)), at(1 + MORE, similarity - 4 * ERROR)
     prints = written(fingerprints(docs, id_col, text_col, words, finer))
-    nodes = written(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"), F.min(F.struct("more", "fine", "fine2")).alias("x")).select("fp", "least", "x.*"))
+    nodes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"), F.min(F.struct("more", "fine")).alias("x"), F.min(F.struct(F.col(id_col).alias("id"), "key")).alias("one"))
+    nodes = written(nodes.select("fp", "least", "x.*", "one"))
     near = lambda a, b: distance(a["node"], b["node"]) + distance(a["other"], b["other"]) <= loose
-    fine = [nodes.select(F.col("fp").alias("node"), F.col(c).alias("fp"), F.get("more", F.lit(0)).alias("other")) for c in ("fine", "fine2")]
-    pairs = reduce(DataFrame.unionByName, [f for x in fine for f in (links(x, radius, near), far_links(x, reach, near))])
+    fine = nodes.select(F.col("fp").alias("node"), F.get("more", F.lit(0)).alias("other"), F.posexplode("fine").alias("kind", "fp"))
+    pairs = links(fine, radius, near).unionByName(far_links(fine, reach, near))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     bits = lambda n: nodes.select(F.col("fp").alias(n), F.concat(F.array("fp"), "more").alias(f"bits_{n}"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", distance), F.lit(0), lambda total, n: total + n)
-    found = pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= most).select("a", "b")
+    judged = written(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= most).select("a", "b", (apart <= sure).alias("sure")))
+    open_pairs = judged.where("not sure").select("a", "b")
+    ends = nodes.join(open_pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "one")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    texts = texts.join(ends, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("key") == F.col("one.key"))).select("fp", "text")
+    found = judged.where("sure").select("a", "b").unionByName(as_similar(open_pairs, shingle_sets(texts, "text", words, "fp"), similarity))
     return grouped(prints.select(id_col, "fingerprint"), nodes, found, id_col)
+
+
+def as_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) whose ``sets`` (``fp``, ``shingles``) have the Jaccard similarity or more."""
+    sets = written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    end = lambda n: sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"of_{n}"))
+    both = written(pairs.join(end("a"), "a")).join(end("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= F.round(similarity * (F.size("of_a") + F.size("of_b") - common), 9)).select("a", "b")

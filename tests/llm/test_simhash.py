@@ -5,6 +5,7 @@ from itertools import combinations
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import components, queries, simhash
 
 
@@ -54,7 +55,7 @@ def test_links_in_large_buckets(spark):
     centres = [rng.getrandbits(64) for _ in range(3)]
     prints = {n: rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for n in range(500)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    distinct = spark.createDataFrame([(signed(p),) for p in set(prints.values())], "fp long").select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other"))
+    distinct = spark.createDataFrame([(signed(p),) for p in set(prints.values())], "fp long").select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("other"), F.lit(0).alias("kind"))
     for radius in (1, 2, 3):
         label = {r.node: r.label for r in components.connected_components(simhash.links(distinct, radius)).collect()}
         want = components_of(prints, radius)
@@ -96,3 +97,40 @@ def test_similar_documents(spark):
     joined = sum(len({got[i] for i in range(3 * n, 3 * n + 3)}) == 1 for n in range(60))
     assert joined >= 57
     assert all(groups[i] == groups[c] for i, c in got.items())
+
+
+def test_similar_documents_equals_brute_force(spark):
+    """Copies with one to twelve words replaced, on both sides of the similarity asked for."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    docs = []
+    for n in range(80):
+        words = rng.choices(vocabulary, k=240)
+        docs.append(words)
+        docs.append(list(words))
+        for _ in range(1 + n % 12):
+            docs[-1][rng.randrange(240)] = "changed"
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in docs]
+    alike = {n: len(sets[2 * n] & sets[2 * n + 1]) / len(sets[2 * n] | sets[2 * n + 1]) for n in range(80)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    joined = {n for n in range(80) if got[2 * n] == got[2 * n + 1]}
+    assert not {n for n in joined if alike[n] < 0.77}
+    want = {n for n in range(80) if alike[n] >= 0.8}
+    assert len(want & joined) >= 0.9 * len(want)
+    assert len(set(got.values())) == 160 - len(joined)
+
+
+def test_pairs_are_held_against_their_sets(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 9]), (4, []), (2, [1, 2, 3, 4, 5])], "fp long, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "a long, b long")
+    assert [tuple(r) for r in simhash.as_similar(pairs, sets, 0.8).collect()] == [(1, 2)]
+
+
+def test_similar_documents_on_edge_rows(spark, awkward, clashing, rows_of):
+    out = rows_of(simhash.similar_documents(awkward), "doc_id", "component_id")
+    assert len(out) == 14
+    assert [c for i, c in out if i in (1, 2, 3)] == [1, 1, 1] and [c for i, c in out if i in (4, 5)] == [4, 4, 4]
+    assert out == rows_of(simhash.similar_documents(clashing), "doc_id", "component_id")
+    full = clashing.selectExpr("*", "cast(null as string) lang", "cast(null as string) source", "cast(null as long) n_chars")
+    kept = corpus_pipeline.near_dedup(spark, full, "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in kept.collect()} >= {1, 4, 6, 7, 8, 9, 10, 11}
