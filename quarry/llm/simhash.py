@@ -25,10 +25,10 @@ from .components import connected_components
 BITS = 64
 #: Buckets up to this many fingerprints are compared pair by pair, larger ones through shared neighbours.
 SMALL_BUCKET = 16
-#: Further fingerprints by which the similarity of two sets of shingles is told: with the first, 384 bits, a standard error of 0.02 at 0.8.
-MORE, ERROR = 5, 0.02
-#: Fingerprints of finer shingles in whose tables candidates meet.
-FINE = 4
+#: Texts in which common shingles are counted, about, and how often a shingle is met there to be called common.
+SAMPLE, OFTEN = 10_000, 3
+#: Members of a large bucket that are compared with the others as one block.
+BLOCK = 256
 
 
 def masks(radius: int) -> list[int]:
@@ -67,44 +67,64 @@ def hashes(text: bytes, words: int) -> list[int]:
     return [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist())]
 
 
-def remixed(values: np.ndarray) -> np.ndarray:
-    """Other hashes from hashes (the finaliser of splitmix64), for a second fingerprint."""
-    v = values + np.uint64(0x9E3779B97F4A7C15)
-    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return v ^ (v >> np.uint64(31))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``id_col`` and ``fingerprint`` (a long) of every document; without a word it is 0.
 
+    A null text has no word. Nothing is shuffled.
+    """
+    small_batches(docs.sparkSession)
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, finer: int = 0) -> DataFrame:
-    """``id_col`` and ``fingerprint`` (a long) of every document; without a word it is 0.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs_of_bytes(batch, "t"):
+                yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(votes(*ragged(part.column("t").to_pylist(), words)).view(np.int64))], ["i", "fingerprint"])
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, f"i {dict(docs.dtypes)[id_col]}, fingerprint long").withColumnRenamed("i", id_col)
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(np.array(hashes(text, words) if text else [], np.uint64))
+
+
+def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, in order, and how many. They only set an order: no result hangs on them."""
+    every = max(1, docs.count() // SAMPLE)
+    texts = docs.select(F.xxhash64(text_col).alias("key"), text_col).where(F.pmod("key", F.lit(every)) == 0).groupBy("key").agg(F.first(text_col).alias("text"))
+    found = shingle_sets(texts, "text", words, "key").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN).toPandas()
+    keys, counts = found["s"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
-    With ``finer`` also ``key``, a hash of the text, ``fine``, an array of FINE
-    fingerprints from different hashes of shingles of ``finer`` words, and ``more``,
-    one of MORE from other hashes of the first shingles. A null text has no word.
-    Nothing is shuffled.
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``id``, ``key`` (a hash of the text), ``fp`` (a hash of the set of shingles), ``n``, its size, and ``prefix`` of every document.
+
+    With all sets in one order, uncommon shingles first, two sets of the similarity
+    share one of the first ``n - ceil(similarity * n) + 1`` of each: the prefix.
     """
+    from xxhash import xxh64_intdigest
+
     small_batches(docs.sparkSession)
-    names = ["i", "fingerprint", *(["key", "fine", "more"] if finer else [])]
+    keys, counts = common
 
-    def several(values: np.ndarray, ends: np.ndarray, n: int) -> pa.Array:
-        found = []
-        for _ in range(n):
-            found.append(votes(values, ends).view(np.int64))
-            values = remixed(values)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(ends) + 1, n), pa.int32()), pa.array(np.stack(found, axis=1).ravel()))
+    def of(text: bytes | None) -> tuple[int, int, np.ndarray]:
+        found = shingle_set(text, words)
+        place = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
+        met = np.where(keys[place] == found, counts[place], 0) if len(keys) else np.zeros(len(found), np.int64)
+        first = len(found) - math.ceil(round(similarity * len(found), 9)) + 1 if len(found) else 0
+        return xxh64_intdigest(found.tobytes(), 42), len(found), found[np.lexsort((found, met))[:first]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
-                texts = part.column("t").to_pylist()
-                flat, ends = ragged(texts, words)
-                columns = [part.column("i"), pa.array(votes(flat, ends).view(np.int64))]
-                if finer:
-                    columns += [part.column("key"), several(*ragged(texts, finer), FINE), several(remixed(flat), ends, MORE)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                fps, sizes, firsts = zip(*map(of, part.column("t").to_pylist()))
+                columns = [part.column("id"), part.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "prefix"])
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"), *([F.xxhash64(text_col).alias("key")] if finer else []))
-    return rows.mapInArrow(run, f"i {dict(docs.dtypes)[id_col]}, fingerprint long" + (", key long, fine array<long>, more array<long>" if finer else "")).withColumnRenamed("i", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key long, fp long, n int, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> DataFrame:
@@ -114,7 +134,7 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
-                sets = [np.unique(np.array(hashes(t, words) if t else [], np.uint64)).view(np.int64) for t in part.column("t").to_pylist()]
+                sets = [shingle_set(t, words).view(np.int64) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(carry), pa.array(sets, pa.list_(pa.int64()))], [carry, "shingles"])
 
     return docs.select(carry, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{carry} long, shingles array<long>")
@@ -139,40 +159,25 @@ def bucketed(prints: DataFrame, radius: int) -> DataFrame:
     return written(dealt.join(sizes, ["kind", "table", "bucket"]).select("node", "kind", "fp", "other", "table", "bucket", "n"))
 
 
-def pairs_in_small(shared: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
-    """``a``, ``b``: the pairs of small buckets that ``rule`` takes."""
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("kind", "table", "bucket").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "other"))).alias("fps"))
+def pairs_in_small(small: DataFrame, keys: list[str], columns: list[str], rule: Callable[[Column, Column], Column]) -> DataFrame:
+    """``a``, ``b``: the pairs of nodes in each bucket of SMALL_BUCKET at most that ``rule``, for two structs of ``columns``, takes."""
+    grouped = small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("fps"))
     later = F.transform("fps", lambda a, i: F.transform(F.filter(F.slice("fps", i + 2, SMALL_BUCKET), lambda b: rule(a, b)), lambda b: F.struct(a["node"].alias("a"), b["node"].alias("b"))))
-    return small.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
+    return grouped.select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b")
 
 
-def links(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int) -> DataFrame:
     """``a``, ``b``: links that join all nodes of ``prints`` (``node``, ``kind``, ``fp``, ``other``: longs) within ``radius`` bits.
 
-    Only fingerprints of one kind meet. A table's small buckets give their pairs within the radius, or those that
-    ``accept``, a rule for two structs of (fp, node, other), takes. The fingerprints
+    Only fingerprints of one kind meet. A table's small buckets give their pairs within the radius. The fingerprints
     of large buckets are not compared with one another but meet at values near them.
     """
     shared = bucketed(prints, radius)
-    near = pairs_in_small(shared, accept or (lambda a, b: distance(a["fp"], b["fp"]) <= radius))
-    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "kind", "fp", "other").distinct(), radius, accept))
-
+    near = pairs_in_small(shared.where(F.col("n") <= SMALL_BUCKET), ["kind", "table", "bucket"], ["fp", "node", "other"], lambda a, b: distance(a["fp"], b["fp"]) <= radius)
+    return near.unionByName(meetings(shared.where(F.col("n") > SMALL_BUCKET).select("node", "kind", "fp", "other").distinct(), radius))
 
-def far_links(prints: DataFrame, reach: int, accept: Callable[[Column, Column], Column]) -> DataFrame:
-    """Links that ``accept`` takes, from the tables of the radius ``reach``.
 
-    Small buckets give their pairs; in a large one each is held against one of the
-    bucket, another in every table.
-    """
-    shared = bucketed(prints, reach)
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    chosen = large.groupBy("kind", "table", "bucket").agg(F.min_by(F.struct("fp", "node", "other"), F.xxhash64("table", "node")).alias("x"))
-    own = F.struct("fp", "node", "other").alias("own")
-    stars = large.select("kind", "table", "bucket", own).join(chosen, ["kind", "table", "bucket"]).where(accept(F.col("x"), F.col("own")))
-    return pairs_in_small(shared, accept).unionByName(stars.select(F.col("x.node").alias("a"), F.col("own.node").alias("b")).where("a <> b"))
-
-
-def meetings(prints: DataFrame, radius: int, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def meetings(prints: DataFrame, radius: int) -> DataFrame:
     """The links among ``prints`` without comparing pairs.
 
     With k = radius // 2, every fingerprint names the values within k bits (inner)
@@ -180,8 +185,7 @@ def meetings(prints: DataFrame, radius: int, accept: Callable[[Column, Column],
     ``radius`` bits meet at a value, one of them as inner; and whoever meets an inner
     one at a value is within the radius of it. So the least inner one of each value
     is linked with all others there. A value has few different fingerprints: what
-    lies within k + 1 bits of it, whatever the size of the bucket. ``accept`` may turn
-    links down.
+    lies within k + 1 bits of it, whatever the size of the bucket.
     """
     k, odd = divmod(radius, 2)
     flips = [sum(1 << b for b in bits) for n in range(k + odd + 1) for bits in combinations(range(BITS), n)]
@@ -189,7 +193,7 @@ def meetings(prints: DataFrame, radius: int, accept: Callable[[Column, Column],
     named = prints.select("kind", F.struct("node", "fp", "other").alias("own"), F.explode(near).alias("flip")).select("kind", "own", F.col("own.fp").bitwiseXOR(F.col("flip")).alias("value"), (F.bit_count("flip") <= k).alias("inner"))
     met = named.groupBy("kind", "value").agg(F.min(F.when(F.col("inner"), F.col("own"))).alias("a"), F.collect_set("own").alias("all")).where((F.size("all") > 1) & F.col("a").isNotNull())
     met = met.select("a", F.explode("all").alias("b"))
-    return (met.where(accept(F.col("a"), F.col("b"))) if accept else met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).where("a <> b")
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).where("a <> b")
 
 
 def grouped(prints: DataFrame, nodes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
@@ -218,44 +222,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped(prints, nodes, found, id_col)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2, reach: int = 5, finer: int = 2, similarity: float = 0.8) -> DataFrame:
-    """Like ``near_duplicates``, for the similarity of sets of word shingles in place of a radius.
-
-    Every document has six fingerprints of its shingles and FINE of its shingles of
-    ``finer`` words, fewer bits of which change when a word is replaced. Candidates
-    are what the tables of the latter bring together. Sets with Jaccard similarity j
-    are at the angle whose cosine is 2 j / (1 + j), and bits differ in proportion to
-    the angle: where the six, 384 bits, tell a candidate's similarity from
-    ``similarity`` by four standard errors, they decide, elsewhere the sets
-    themselves are compared. A pair within ``reach`` bits in one of the finer ones
-    meets in a bucket for certain, a pair beyond that often does. Buckets of more
-    than SMALL_BUCKET are not compared pair by pair: whatever their size, what is
-    within ``radius`` bits meets for certain, the rest by the one that each table
-    picks. Nulls, copies and repeated rows are as in ``near_duplicates``.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Like ``near_duplicates``, for the Jaccard similarity of sets of word shingles in place of a radius; ``fingerprint`` is a hash of the set.
+
+    Exact: two documents share a component if and only if a chain of pairs of the
+    similarity or more joins them. Such a pair shares a shingle of both prefixes
+    (see ``prefixes``), so it meets in that shingle's bucket, and every link is
+    confirmed by the sets. Small buckets are compared pair by pair. In a large one
+    all are first held against one of it, then against another, and so on, as long as
+    that joins components; then all pairs of it that no component joins yet are compared.
+    Nulls, copies and repeated rows are as in ``near_duplicates``.
     """
-    at = lambda n, j: int(n * BITS * math.acos(2 * j / (1 + j)) / math.pi)
-    loose, sure, most = at(2, similarity - 0.2), at(1 + MORE, min(1.0, similarity + 4 * ERROR)), at(1 + MORE, similarity - 4 * ERROR)
-    prints = written(fingerprints(docs, id_col, text_col, words, finer))
-    nodes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least"), F.min(F.struct("more", "fine")).alias("x"), F.min(F.struct(F.col(id_col).alias("id"), "key")).alias("one"))
-    nodes = written(nodes.select("fp", "least", "x.*", "one"))
-    near = lambda a, b: distance(a["node"], b["node"]) + distance(a["other"], b["other"]) <= loose
-    fine = nodes.select(F.col("fp").alias("node"), F.get("more", F.lit(0)).alias("other"), F.posexplode("fine").alias("kind", "fp"))
-    pairs = links(fine, radius, near).unionByName(far_links(fine, reach, near))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    bits = lambda n: nodes.select(F.col("fp").alias(n), F.concat(F.array("fp"), "more").alias(f"bits_{n}"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", distance), F.lit(0), lambda total, n: total + n)
-    judged = written(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= most).select("a", "b", (apart <= sure).alias("sure")))
-    open_pairs = judged.where("not sure").select("a", "b")
-    ends = nodes.join(open_pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "one")
+    prints = written(prefixes(docs, id_col, text_col, words, similarity, common_shingles(docs, text_col, words)))
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    # counted first, as few shingles are in two prefixes: only what has company is dealt out with its node
+    sizes = written(nodes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = written(nodes.select(F.col("fp").alias("node"), "n", F.posexplode("prefix").alias("pos", "s")).join(sizes, "s"))
+    ends = nodes.join(shared.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi").select("fp", "one")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     texts = texts.join(ends, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("key") == F.col("one.key"))).select("fp", "text")
-    found = judged.where("sure").select("a", "b").unionByName(as_similar(open_pairs, shingle_sets(texts, "text", words, "fp"), similarity))
-    return grouped(prints.select(id_col, "fingerprint"), nodes, found, id_col)
+    sets = one_each(shingle_sets(texts, "text", words, "fp"))
+    found = similar_links(shared, sets, similarity)
+    return grouped(prints.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint")), nodes.select("fp", "least"), found, id_col)
+
+
+def can_reach(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets of ``n`` shingles, with one in common that is at ``pos`` in each, can have the similarity: as many can be common as come before and after it in both."""
+    most = F.least(a["pos"], b["pos"]) + F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+    return most >= F.round((a["n"] + b["n"]) * similarity / (1 + similarity), 6)
+
+
+def similar_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: links that join all nodes of ``shared`` (``s``, ``node``, ``n``, ``pos``, ``size``: who meets at a shingle) of the similarity."""
+    rule = lambda a, b: can_reach(a, b, similarity)
+    confirmed = lambda pairs: written(alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity))
+    found = confirmed(pairs_in_small(shared.where(F.col("size") <= SMALL_BUCKET), ["s"], ["node", "n", "pos"], rule))
+    large = shared.where(F.col("size") > SMALL_BUCKET).select("s", F.struct("node", "n", "pos").alias("own"))
+    turn, before = 0, None
+    while True:
+        labels = connected_components(found)
+        rows = large.join(labels.withColumnRenamed("node", "of"), F.col("own.node") == F.col("of"), "left").select("s", "own", F.coalesce("label", "own.node").alias("label"))
+        rows = written(rows)
+        parts = rows.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside")).where(F.col("n") * F.col("n") > F.col("inside"))
+        parts = written(parts)
+        members, apart = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("inside")), F.lit(0))).first()
+        if not apart:
+            return found
+        rows = rows.join(parts.select("s", "n"), "s")
+        if apart <= 4 * members or before and apart > 0.7 * before:
+            return found.unionByName(confirmed(blockwise(rows, rule)))
+        turn, before = turn + 1, apart
+        chosen = rows.groupBy("s").agg(F.min_by(F.struct("own", "label"), F.xxhash64(F.lit(turn), "own.node")).alias("x"))
+        stars = rows.join(chosen, "s").where((F.col("label") != F.col("x.label")) & rule(F.col("x.own"), F.col("own")))
+        found = written(found.unionByName(confirmed(stars.select(F.col("x.own.node").alias("a"), F.col("own.node").alias("b")))))
+
+
+def blockwise(rows: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
+    """``a``, ``b``: all pairs of ``rows`` (``s``, ``own``, ``label``, ``n``: the bucket's size) with one ``s``, two labels, that ``rule`` takes; BLOCK members at a time meet all others."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = rows.select("s", F.pmod(F.xxhash64("own.node"), blocks).cast("int").alias("block"), F.col("own").alias("x"), F.col("label").alias("label_x"))
+    all_ = rows.select("s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("own").alias("y"), F.col("label").alias("label_y"))
+    met = one.join(all_, ["s", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("label_x") != F.col("label_y")) & rule(F.col("x"), F.col("y")))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def one_each(sets: DataFrame) -> DataFrame:
+    return written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
 
 
 def as_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose ``sets`` (``fp``, ``shingles``) have the Jaccard similarity or more."""
-    sets = written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
+    return alike(pairs, one_each(sets), similarity)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``as_similar`` for sets of which each is there once."""
     end = lambda n: sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"of_{n}"))
     both = written(pairs.join(end("a"), "a")).join(end("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))

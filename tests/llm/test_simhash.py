@@ -134,3 +134,41 @@ def test_similar_documents_on_edge_rows(spark, awkward, clashing, rows_of):
     full = clashing.selectExpr("*", "cast(null as string) lang", "cast(null as string) source", "cast(null as long) n_chars")
     kept = corpus_pipeline.near_dedup(spark, full, "")
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in kept.collect()} >= {1, 4, 6, 7, 8, 9, 10, 11}
+
+
+def joined_by_sets(docs, similarity=0.8):
+    """Components of {id: words} by comparing all pairs of sets of five-word shingles."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in docs.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def similar(spark, docs):
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()}
+
+
+def test_a_large_family_and_a_crowded_bucket(spark):
+    """Hundreds of edited copies of one text, not all alike, and pairs of near copies crowded by others with the same passage."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    base, passage, docs = rng.choices(vocabulary, k=240), rng.choices(vocabulary, k=100), []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(240)] = rng.choice(vocabulary)
+        docs.append(w)
+    for _ in range(60):
+        w = passage + rng.choices(vocabulary, k=60)
+        docs += [w, w[:100] + rng.choices(vocabulary, k=12) + w[112:]]
+    docs = dict(enumerate(docs))
+    assert similar(spark, docs) == joined_by_sets(docs)
