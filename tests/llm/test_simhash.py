@@ -172,3 +172,14 @@ def test_a_large_family_and_a_crowded_bucket(spark):
         docs += [w, w[:100] + rng.choices(vocabulary, k=12) + w[112:]]
     docs = dict(enumerate(docs))
     assert similar(spark, docs) == joined_by_sets(docs)
+
+
+def test_a_repeated_line_does_not_join_texts(spark):
+    """A line repeated to 45 % outvotes the rest of a fingerprint, but it is one of many different shingles."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    line = rng.choices(vocabulary, k=11)
+    docs = {}
+    for n in range(12):
+        docs[n] = sum((line + rng.choices(vocabulary, k=13) for _ in range(82)), [])
+    assert similar(spark, docs) == {n: n for n in docs}
