@@ -183,3 +183,16 @@ def test_a_repeated_line_does_not_join_texts(spark):
     for n in range(12):
         docs[n] = sum((line + rng.choices(vocabulary, k=13) for _ in range(82)), [])
     assert similar(spark, docs) == {n: n for n in docs}
+
+
+def test_appended_removed_and_truncated_paragraphs(spark):
+    """Copies with a change in one stretch, on both sides of the similarity: each pair as the sets have it."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    docs = {}
+    for n in range(120):
+        w, k = rng.choices(vocabulary, k=240), 40 + n % 30
+        at = rng.randrange(20, 240 - k)
+        docs[2 * n], docs[2 * n + 1] = w, (w + rng.choices(vocabulary, k=k), w[:at] + w[at + k - 4 :], w[: 240 - k])[n % 3]
+    want = joined_by_sets(docs)
+    assert similar(spark, docs) == want and 30 < sum(want[2 * n + 1] == 2 * n for n in range(120)) < 110
