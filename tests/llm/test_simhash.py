@@ -196,3 +196,17 @@ def test_appended_removed_and_truncated_paragraphs(spark):
         docs[2 * n], docs[2 * n + 1] = w, (w + rng.choices(vocabulary, k=k), w[:at] + w[at + k - 4 :], w[: 240 - k])[n % 3]
     want = joined_by_sets(docs)
     assert similar(spark, docs) == want and 30 < sum(want[2 * n + 1] == 2 * n for n in range(120)) < 110
+
+
+def test_pairs_just_at_the_similarity(spark):
+    """The sets decide near 0.8: pairs from 0.78 to 0.82 are joined if and only if they reach it."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    docs = {}
+    for n in range(150):
+        w = rng.choices(vocabulary, k=204)
+        docs[2 * n], docs[2 * n + 1] = w, list(w)
+        for at in rng.sample(range(5, 195, 5), 4 + n % 3):
+            docs[2 * n + 1][at] = "changed"
+    want = joined_by_sets(docs)
+    assert similar(spark, docs) == want and 40 < sum(want[2 * n + 1] == 2 * n for n in range(150)) < 110
