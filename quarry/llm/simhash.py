@@ -26,7 +26,7 @@ BITS = 64
 #: Buckets up to this many fingerprints are compared pair by pair, larger ones through shared neighbours.
 SMALL_BUCKET = 16
 #: Texts in which common shingles are counted, about, and how often a shingle is met there to be called common.
-SAMPLE, OFTEN = 10_000, 3
+SAMPLE, OFTEN = 5_000, 2
 #: Members of a large bucket that are compared with the others as one block.
 BLOCK = 256
 
@@ -238,11 +238,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # counted first, as few shingles are in two prefixes: only what has company is dealt out with its node
     sizes = written(nodes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("size")).where("size > 1"))
     shared = written(nodes.select(F.col("fp").alias("node"), "n", F.posexplode("prefix").alias("pos", "s")).join(sizes, "s"))
-    ends = nodes.join(shared.select(F.col("node").alias("fp")).distinct(), "fp", "left_semi").select("fp", "one")
+    pairs = written(pairs_of_small(shared, similarity))
+    judged = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(shared.where(F.col("size") > SMALL_BUCKET).select(F.col("node").alias("fp"))).distinct()
+    ends = nodes.join(judged, "fp", "left_semi").select("fp", "one")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     texts = texts.join(ends, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("key") == F.col("one.key"))).select("fp", "text")
     sets = one_each(shingle_sets(texts, "text", words, "fp"))
-    found = similar_links(shared, sets, similarity)
+    found = similar_links(pairs, shared, sets, similarity)
     return grouped(prints.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint")), nodes.select("fp", "least"), found, id_col)
 
 
@@ -252,11 +254,27 @@ def can_reach(a: Column, b: Column, similarity: float) -> Column:
     return most >= F.round((a["n"] + b["n"]) * similarity / (1 + similarity), 6)
 
 
-def similar_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``: links that join all nodes of ``shared`` (``s``, ``node``, ``n``, ``pos``, ``size``: who meets at a shingle) of the similarity."""
+def pairs_of_small(shared: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: the pairs that meet in small buckets of ``shared`` and can have the similarity.
+
+    Beyond the first end of the two prefixes, no more can be common than one of the
+    sets has after its own; so enough of the prefixes must be. What they share in large
+    buckets isn't counted here, but can't be more than the lesser number of these.
+    """
+    small = shared.where(F.col("size") <= SMALL_BUCKET)
+    met = pairs_in_small(small, ["s"], ["node", "n", "pos"], lambda a, b: can_reach(a, b, similarity)).groupBy("a", "b").agg(F.count("*").alias("common"))
+    of = written(shared.groupBy("node").agg(F.first("n").alias("n"), F.count(F.when(F.col("size") > SMALL_BUCKET, 1)).alias("many")))
+    end = lambda x: of.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("many").alias(f"many_{x}"))
+    after = F.ceil(F.round(F.greatest("n_a", "n_b") * similarity, 9)) - 1
+    enough = F.col("common") + F.least("many_a", "many_b") + after >= F.round((F.col("n_a") + F.col("n_b")) * similarity / (1 + similarity), 6)
+    return met.join(end("a"), "a").join(end("b"), "b").where(enough).select("a", "b")
+
+
+def similar_links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: links that join all nodes of the similarity in ``pairs``, those of small buckets, and the large ones of ``shared`` (``s``, ``node``, ``n``, ``pos``, ``size``: who meets at a shingle)."""
     rule = lambda a, b: can_reach(a, b, similarity)
     confirmed = lambda pairs: written(alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity))
-    found = confirmed(pairs_in_small(shared.where(F.col("size") <= SMALL_BUCKET), ["s"], ["node", "n", "pos"], rule))
+    found = confirmed(pairs)
     large = shared.where(F.col("size") > SMALL_BUCKET).select("s", F.struct("node", "n", "pos").alias("own"))
     turn, before = 0, None
     while True:
