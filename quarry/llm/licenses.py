@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words, with DataFrame functions alone.
 
 One pass over the texts notes where license words stand. How many documents have
-each word gives its rarity. A file's rarest license words are looked up in the
-postings of the license templates; where word and posting agree on where the
+each word gives its rarity. All license words of a file that may vote are looked up
+in the postings of the license templates, whatever else the file holds; where word and posting agree on where the
 template would begin, they vote for that beginning. A template is reported if
 enough rare words agree and one of its mandatory key phrases stands, word for word,
 where that beginning puts it.
@@ -10,7 +10,7 @@ where that beginning puts it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
@@ -36,8 +36,7 @@ TEMPLATES = (
 )
 #: Words too common to vote; they are noted only beside a license word, for the phrases.
 COMMON = frozenset("a and any are as by can for free in is it not of or person that the this to under use with without work you may 0 2 3 4".split())
-#: Rare words of a file that are looked up, and agreeing ones that a template needs.
-RAREST = 12
+#: Agreeing words that a template needs.
 AGREEING = 2
 
 
@@ -114,9 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     idf = small_table(spark, [(w, known.get(w, highest)) for w in voting], "word string, idf double")
     mass = [(t, sum(known.get(w, highest) for w in {w for u, w, _ in postings() if u == t})) for t in range(len(TEMPLATES))]
 
-    order = Window.partitionBy("uid").orderBy(F.col("idf").desc(), "word")  # a document has as many rows here as the fixed list has words
-    rarest = present.join(idf, "word").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= RAREST).select("uid", "word", "idf")
-    votes = rows.join(rarest, ["uid", "word"]).join(small_table(spark, postings(), "template int, word string, place int"), "word")
+    votes = rows.join(idf, "word").join(small_table(spark, postings(), "template int, word string, place int"), "word")
     begun = votes.groupBy("uid", "template", (F.col("pos") - F.col("place")).alias("begin")).agg(F.count("*").alias("agree"), F.sum("idf").alias("weight")).where(F.col("agree") >= AGREEING)
     keys = places.join(small_table(spark, key_places(), "template int, phrase string, place int"), "phrase").select("uid", "template", (F.col("start") - F.col("place")).alias("begin"))
     labels = small_table(spark, [(t, TEMPLATES[t][0], m) for t, m in mass], "template int, label string, mass double")

@@ -40,3 +40,16 @@ def test_templates_are_found_by_their_rare_words(spark):
     found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(label in found[n] for n, (label, _, _) in enumerate(licenses.TEMPLATES))
     assert not any(found[n] for n in found if n >= 100)
+
+
+def test_templates_are_found_beside_all_others(spark):
+    """Several licenses in one file, and license words strewn over a long text, take no template's votes away."""
+    every = [text for _, text, _ in licenses.TEMPLATES]
+    strewn = " some filler ".join(sorted({w for _, w, _ in licenses.postings()}))
+    docs = [(0, " . ".join(every)), (1, " . ".join(reversed(every)))] + [(2 + n, f"{strewn} end {text} end {strewn}") for n, text in enumerate(every)]
+    docs += [(100 + n, "nothing of the kind " * 3) for n in range(50)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    labels = {label for label, _, _ in licenses.TEMPLATES}
+    assert labels <= set(found[0].labels) and labels <= set(found[1].labels)
+    assert all(label in found[2 + n].labels and found[2 + n].score > 0.9 for n, (label, _, _) in enumerate(licenses.TEMPLATES))
+    assert not any(found[n].labels for n in found if n >= 100)
