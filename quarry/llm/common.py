@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -39,21 +42,52 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, its lineage cut.
+#: Paths written in the scopes that are open, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not (context.master or "").startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not (context.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def written(df: DataFrame, outer: bool = False) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder, its lineage cut.
+
+    Unlike after a checkpoint, its size is known to the optimizer as it is: a loop's
+    estimates don't multiply. The table goes when the ``scope`` around it ends (with
+    ``outer``, the scope around that one), at the latest with the session.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    scopes = _scopes.get()[: -1 if outer else None]
+    if scopes:
+        scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at its end."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def runs_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -66,6 +100,36 @@ def runs_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> I
             yield batch.slice(lo, hi - lo)
 
 
+class KeyFilter:
+    """A Bloom filter of longs that are hashes, with a fixed number of bits: a key that was put in always passes.
+
+    Its size doesn't grow with the keys; with very many of them it lets everything
+    through, and the join behind it does all the work.
+    """
+
+    BITS = 25
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str) -> KeyFilter:
+        """The filter of a column of ``keys``: 2 ** (BITS - 6) longs reach the driver at most."""
+        mask = (1 << cls.BITS) - 1
+        places = F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(mask)))
+        found = keys.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        words = np.zeros(1 << (cls.BITS - 6), dtype=np.uint64)
+        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        return cls(words)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may be in it."""
+        keys, mask, out = keys.astype(np.int64, copy=False).view(np.uint64), np.uint64((1 << self.BITS) - 1), np.ones(len(keys), dtype=bool)
+        for places in (keys & mask, (keys >> np.uint64(32)) & mask):
+            out &= (self.words[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
 class TwoGenerations:
     """A bounded cache for values that are computed in batches.
 

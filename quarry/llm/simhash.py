@@ -15,18 +15,23 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of_bytes, small_batches, written
+from .common import KeyFilter, runs_of_bytes, scope, small_batches, written
 from .components import connected_components
 
 BITS = 64
 #: Buckets up to this many fingerprints are compared pair by pair, larger ones through shared neighbours.
 SMALL_BUCKET = 16
-#: Texts in which common shingles are counted, about, and how often a shingle is met there to be called common.
-SAMPLE, OFTEN = 5_000, 2
+#: Texts in which common shingles are counted, about, how often a shingle is met there to be called common, and most of them.
+SAMPLE, OFTEN, COMMON = 5_000, 2, 200_000
+#: Radius of the covering tables over fingerprints of sets.
+COVERED = 3
+#: Members that a large bucket chooses in a round, and how many of those that its buckets chose a node is held against.
+HUBS, TRIES = 4, 4
 #: Members of a large bucket that are compared with the others as one block.
 BLOCK = 256
 
@@ -89,42 +94,51 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample have, in order, and how many. They only set an order: no result hangs on them."""
+    """Up to COMMON shingles that most texts of a sample have, in order, and how many. They only set an order: no result hangs on them."""
     every = max(1, docs.count() // SAMPLE)
     texts = docs.select(F.xxhash64(text_col).alias("key"), text_col).where(F.pmod("key", F.lit(every)) == 0).groupBy("key").agg(F.first(text_col).alias("text"))
-    found = shingle_sets(texts, "text", words, "key").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN).toPandas()
+    met = shingle_sets(texts, "text", words, "key").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN)
+    found = met.orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
     keys, counts = found["s"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``id``, ``key`` (a hash of the text), ``fp`` (a hash of the set of shingles), ``n``, its size, and ``prefix`` of every document.
+    """``id``, ``key`` (a hash of the text), ``fp`` (a hash of the set of shingles), ``sim``, its fingerprint, ``n``, its size, and ``prefix`` of every document.
 
     With all sets in one order, uncommon shingles first, two sets of the similarity
-    share one of the first ``n - ceil(similarity * n) + 1`` of each: the prefix.
+    share one of the first ``n - ceil(similarity * n) + 1`` of each: the prefix. A
+    task gives the prefix of equal sets once; later rows of them have an empty one.
     """
     from xxhash import xxh64_intdigest
 
     small_batches(docs.sparkSession)
     keys, counts = common
 
-    def of(text: bytes | None) -> tuple[int, int, np.ndarray]:
-        found = shingle_set(text, words)
+    def prefix(found: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
         met = np.where(keys[place] == found, counts[place], 0) if len(keys) else np.zeros(len(found), np.int64)
         first = len(found) - math.ceil(round(similarity * len(found), 9)) + 1 if len(found) else 0
-        return xxh64_intdigest(found.tobytes(), 42), len(found), found[np.lexsort((found, met))[:first]].view(np.int64)
+        return found[np.lexsort((found, met))[:first]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
-                fps, sizes, firsts = zip(*map(of, part.column("t").to_pylist()))
-                columns = [part.column("id"), part.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "n", "prefix"])
+                sets = [shingle_set(t, words) for t in part.column("t").to_pylist()]
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                sims = votes(np.concatenate(sets), np.cumsum(sizes))
+                fps = [xxh64_intdigest(found.tobytes(), 42) for found in sets]
+                firsts = []
+                for fp, found in zip(fps, sets):
+                    firsts.append(found[:0].view(np.int64) if fp in given else prefix(found))
+                    given.add(fp)
+                columns = [part.column("id"), part.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sims.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "sim", "n", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key long, fp long, n int, prefix array<long>")
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, key long, fp long, sim long, n int, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> DataFrame:
@@ -140,6 +154,29 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> Data
     return docs.select(carry, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{carry} long, shingles array<long>")
 
 
+def judged_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """``fp`` and ``shingles`` of the sets whose texts ``wanted`` (``key``: a hash of the text) has, each once.
+
+    A filter of the keys goes to the texts, so that only the sets asked for are made
+    and moved; a few others that the filter lets through do no harm.
+    """
+    from xxhash import xxh64_intdigest
+
+    small_batches(docs.sparkSession)
+    known = KeyFilter.of(wanted, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.filter(pa.array(known.has(batch.column("key").to_numpy())))
+            for part in runs_of_bytes(asked, "t"):
+                sets = [shingle_set(t, words) for t in part.column("t").to_pylist()]
+                fps = np.array([xxh64_intdigest(found.tobytes(), 42) for found in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array([found.view(np.int64) for found in sets], pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    found = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "fp long, shingles array<long>")
+    return one_each(found)
+
+
 def ragged(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts in one array, and where each text's end."""
     found = [hashes(t, words) if t else [] for t in texts]
@@ -226,73 +263,172 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Like ``near_duplicates``, for the Jaccard similarity of sets of word shingles in place of a radius; ``fingerprint`` is a hash of the set.
 
     Exact: two documents share a component if and only if a chain of pairs of the
-    similarity or more joins them. Such a pair shares a shingle of both prefixes
-    (see ``prefixes``), so it meets in that shingle's bucket, and every link is
-    confirmed by the sets. Small buckets are compared pair by pair. In a large one
-    all are first held against one of it, then against another, and so on, as long as
-    that joins components; then all pairs of it that no component joins yet are compared.
+    similarity or more joins them. Covering tables over fingerprints of the sets name
+    the nearest pairs. Pairs beyond their radius share a shingle of both prefixes (see
+    ``prefixes``), so they meet in that shingle's bucket. Every link is confirmed by
+    the sets. Small buckets are compared pair by pair. In a large one all are first
+    held against one of it, then against another, and so on, as long as that joins
+    components; then all pairs of it that no component joins yet are compared.
     Nulls, copies and repeated rows are as in ``near_duplicates``.
     """
+    prints, component = similar_components(docs, id_col, text_col, words, similarity)
+    return prints.join(component, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), F.col("one.id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay if one document of each component of ``similar_documents`` does, whole.
+
+    It is the one with the smallest id, in a tie the one whose text has the smallest
+    hash; documents without an id come last, and stay only in a component without
+    another. Rows that agree in id and text count as one; which of them gives the
+    other columns is not defined. A text without a word, null or empty, is like any
+    other text without one. An empty table gives an empty result. Only rows of
+    components with more than one row are moved.
+    """
+    prints, component = similar_components(docs, id_col, text_col, words, similarity)
+    rows = prints.groupBy("fp").agg(F.count("*").alias("rows")).join(component, "fp")
+    crowded = written(rows.groupBy("one").agg(F.sum("rows").alias("rows")).where("rows > 1").select(F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")))
+    keys = prints.join(component.join(crowded, (F.col("one.id").eqNullSafe(F.col("one_id"))) & (F.col("one.key") == F.col("one_key")), "left_semi").select("fp"), "fp", "left_semi").select("key")
+    known = KeyFilter.of(keys, "key")
+
+    @F.pandas_udf("boolean")
+    def asked(key: pd.Series) -> pd.Series:
+        return pd.Series(known.has(key.to_numpy()))
+
+    names = docs.columns
+    flagged = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key")).withColumn("asked", asked("key"))
+    # the filter may let through documents that are alone in their component: they are no component's one here
+    alone = flagged.where("asked").join(written(keys.distinct()), "key", "left_anti")
+    one = flagged.where("asked").join(crowded, F.col("id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))).dropDuplicates(["id", "key"])
+    return flagged.where("not asked").select("row").unionByName(alone.select("row")).unionByName(one.select("row")).select("row.*")
+
+
+def similar_components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``key``, ``fp`` of every row, and for every ``fp`` the ``one`` (``id``, ``key``) of its component."""
     prints = written(prefixes(docs, id_col, text_col, words, similarity, common_shingles(docs, text_col, words)))
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    # counted first, as few shingles are in two prefixes: only what has company is dealt out with its node
-    sizes = written(nodes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = written(nodes.select(F.col("fp").alias("node"), "n", F.posexplode("prefix").alias("pos", "s")).join(sizes, "s"))
-    pairs = written(pairs_of_small(shared, similarity))
-    judged = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(shared.where(F.col("size") > SMALL_BUCKET).select(F.col("node").alias("fp"))).distinct()
-    ends = nodes.join(judged, "fp", "left_semi").select("fp", "one")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    texts = texts.join(ends, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("key") == F.col("one.key"))).select("fp", "text")
-    sets = one_each(shingle_sets(texts, "text", words, "fp"))
-    found = similar_links(pairs, shared, sets, similarity)
-    return grouped(prints.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint")), nodes.select("fp", "least"), found, id_col)
+    with scope(docs.sparkSession):
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+        nodes = written(prints.groupBy("fp").agg(first.alias("one"), F.first("sim").alias("sim"), F.first("n").alias("n")))
+        near = covered_pairs(nodes, COVERED)
+        shared = shared_shingles(prints)
+        pairs = written(near.unionByName(pairs_of_small(shared, similarity)).distinct())
+        judged = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(shared.where(F.col("size") > SMALL_BUCKET).select(F.col("node").alias("fp"))).distinct()
+        sets = judged_sets(docs, text_col, words, nodes.join(judged, "fp", "left_semi").select("one.key"))
+        labels = connected_components(similar_links(pairs, shared, sets, similarity))
+        of_node = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "one", F.coalesce("label", "fp").alias("label")))
+        # written one by one: then both sides of each join are dealt out by it alone, and a large component or a text with many copies can be split
+        roots = written(of_node.groupBy("label").agg(F.min("one").alias("one")))
+        component = written(of_node.select("fp", "label").join(roots, "label").select("fp", F.struct("one.id", "one.key").alias("one")), outer=True)
+    return prints.select("id", "key", "fp"), component
+
+
+def covered_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """``a``, ``b``: nodes to compare because a covering table has their fingerprints (``sim``) in one bucket.
+
+    Each fingerprint within the radius of the least one in its bucket is paired with
+    it, and the nodes of one fingerprint with the least of them: a pair for each node
+    and table at most.
+    """
+    prints = written(nodes.groupBy("sim").agg(F.min("fp").alias("least")))
+    tables = F.explode(F.array(*(F.struct(F.lit(n).alias("table"), F.col("sim").bitwiseAND(F.lit(m)).alias("bucket")) for n, m in enumerate(masks(radius))))).alias("t")
+    dealt = prints.select("sim", tables).select("sim", "t.table", "t.bucket")
+    hubs = dealt.groupBy("table", "bucket").agg(F.min("sim").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = dealt.join(hubs, ["table", "bucket"]).where((F.col("sim") != F.col("hub")) & (distance(F.col("sim"), F.col("hub")) <= radius)).select("sim", "hub").distinct()
+    far = met.join(prints, "sim").withColumnRenamed("least", "a").join(prints.select(F.col("sim").alias("hub"), F.col("least").alias("b")), "hub")
+    same = nodes.join(prints, "sim").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return far.select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def shared_shingles(prints: DataFrame) -> DataFrame:
+    """``s``, ``node``, ``n``, ``size``: the prefixes' shingles that more than one node has, with their number of nodes.
+
+    Few shingles are in two prefixes. All are counted, and a filter of those met
+    twice goes to the prefixes, so that only what may have company is dealt out with
+    its node.
+    """
+    twice = prints.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("size")).where("size > 1").select("s")
+    known = KeyFilter.of(twice, "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            stay = known.has(prefix.values.to_numpy()[prefix.offsets[0].as_py() : prefix.offsets[-1].as_py()])
+            of = np.repeat(np.arange(batch.num_rows), np.diff(prefix.offsets.to_numpy()))[stay]
+            s = prefix.flatten().to_numpy()[stay]
+            yield pa.RecordBatch.from_arrays([pa.array(s), batch.column("fp").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["s", "node", "n"])
+
+    rows = written(prints.select("fp", "n", "prefix").where(F.size("prefix") > 0).mapInArrow(run, "s long, node long, n int").distinct())
+    sizes = rows.groupBy("s").agg(F.count("*").alias("size")).where("size > 1")
+    return written(rows.join(sizes, "s").select("s", "node", "n", "size"))
 
 
 def can_reach(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two sets of ``n`` shingles, with one in common that is at ``pos`` in each, can have the similarity: as many can be common as come before and after it in both."""
-    most = F.least(a["pos"], b["pos"]) + F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-    return most >= F.round((a["n"] + b["n"]) * similarity / (1 + similarity), 6)
+    """Whether two sets of ``n`` shingles can have the similarity: the smaller one may not be too small."""
+    return F.least(a["n"], b["n"]) >= F.round(F.greatest(a["n"], b["n"]) * similarity, 6)
 
 
-def pairs_of_small(shared: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``: the pairs that meet in small buckets of ``shared`` and can have the similarity.
+def enough(pairs: DataFrame, of: DataFrame, elsewhere: str, similarity: float) -> DataFrame:
+    """``a``, ``b``: those of ``pairs`` (with ``common``, shingles they share in the buckets looked at) that can have the similarity.
 
-    Beyond the first end of the two prefixes, no more can be common than one of the
-    sets has after its own; so enough of the prefixes must be. What they share in large
-    buckets isn't counted here, but can't be more than the lesser number of these.
+    ``of`` has each node's ``n`` and, in the column ``elsewhere``, its shingles in
+    other buckets: they can share as many there as the lesser number says. Beyond the
+    first end of the two prefixes, no more can be common than one of the sets has
+    after its own; so enough of the prefixes must be.
     """
-    small = shared.where(F.col("size") <= SMALL_BUCKET)
-    met = pairs_in_small(small, ["s"], ["node", "n", "pos"], lambda a, b: can_reach(a, b, similarity)).groupBy("a", "b").agg(F.count("*").alias("common"))
-    of = written(shared.groupBy("node").agg(F.first("n").alias("n"), F.count(F.when(F.col("size") > SMALL_BUCKET, 1)).alias("many")))
-    end = lambda x: of.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("many").alias(f"many_{x}"))
+    end = lambda x: of.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col(elsewhere).alias(f"more_{x}"))
     after = F.ceil(F.round(F.greatest("n_a", "n_b") * similarity, 9)) - 1
-    enough = F.col("common") + F.least("many_a", "many_b") + after >= F.round((F.col("n_a") + F.col("n_b")) * similarity / (1 + similarity), 6)
-    return met.join(end("a"), "a").join(end("b"), "b").where(enough).select("a", "b")
+    reach = F.col("common") + F.least("more_a", "more_b") + after >= F.round((F.col("n_a") + F.col("n_b")) * similarity / (1 + similarity), 6)
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(reach).select("a", "b")
+
+
+def bucket_numbers(shared: DataFrame) -> DataFrame:
+    """``node``, ``n``, and its shingles in ``small`` and in ``large`` buckets."""
+    large = F.col("size") > SMALL_BUCKET
+    return written(shared.groupBy("node").agg(F.first("n").alias("n"), F.count(F.when(large, 1)).alias("large"), F.count(F.when(~large, 1)).alias("small")))
+
+
+def pairs_of_small(shared: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: the pairs that meet in small buckets of ``shared`` and can have the similarity."""
+    small = shared.where(F.col("size") <= SMALL_BUCKET)
+    met = pairs_in_small(small, ["s"], ["node", "n"], lambda a, b: can_reach(a, b, similarity)).groupBy("a", "b").agg(F.count("*").alias("common"))
+    return enough(met, bucket_numbers(shared), "large", similarity)
 
 
 def similar_links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``: links that join all nodes of the similarity in ``pairs``, those of small buckets, and the large ones of ``shared`` (``s``, ``node``, ``n``, ``pos``, ``size``: who meets at a shingle)."""
+    """``a``, ``b``: links that join all nodes of the similarity in ``pairs``, those of small buckets, and the large ones of ``shared``.
+
+    In a round every node of a large bucket with several components is held against
+    TRIES others at most: those that its buckets choose most often. A bucket chooses
+    HUBS members, first of all the one with the most shingles in large buckets, as
+    the text that copies were made from has more of them than its copies. Rounds go
+    on as long as they join much; what then is apart is compared pair by pair.
+    """
     rule = lambda a, b: can_reach(a, b, similarity)
     confirmed = lambda pairs: written(alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity))
     found = confirmed(pairs)
-    large = shared.where(F.col("size") > SMALL_BUCKET).select("s", F.struct("node", "n", "pos").alias("own"))
+    numbers = bucket_numbers(shared)
+    large = shared.where(F.col("size") > SMALL_BUCKET).join(numbers.select("node", "large"), "node").select("s", F.struct("node", "n").alias("own"), "large")
     turn, before = 0, None
     while True:
         labels = connected_components(found)
-        rows = large.join(labels.withColumnRenamed("node", "of"), F.col("own.node") == F.col("of"), "left").select("s", "own", F.coalesce("label", "own.node").alias("label"))
-        rows = written(rows)
+        rows = written(large.join(labels.withColumnRenamed("node", "of"), F.col("own.node") == F.col("of"), "left").select("s", "own", "large", F.coalesce("label", "own.node").alias("label")))
         parts = rows.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside")).where(F.col("n") * F.col("n") > F.col("inside"))
         parts = written(parts)
         members, apart = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("inside")), F.lit(0))).first()
         if not apart:
             return found
         rows = rows.join(parts.select("s", "n"), "s")
-        if apart <= 4 * members or before and apart > 0.7 * before:
-            return found.unionByName(confirmed(blockwise(rows, rule)))
-        turn, before = turn + 1, apart
-        chosen = rows.groupBy("s").agg(F.min_by(F.struct("own", "label"), F.xxhash64(F.lit(turn), "own.node")).alias("x"))
-        stars = rows.join(chosen, "s").where((F.col("label") != F.col("x.label")) & rule(F.col("x.own"), F.col("own")))
-        found = written(found.unionByName(confirmed(stars.select(F.col("x.own.node").alias("a"), F.col("own.node").alias("b")))))
+        if apart <= 4 * members or before and apart > 0.8 * before:
+            met = blockwise(rows, rule).groupBy("a", "b").agg(F.count("*").alias("common"))
+            return found.unionByName(confirmed(enough(met, numbers, "small", similarity)))
+        before = apart
+        orders = [F.struct(-F.col("large"), "own.node"), *(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "own.node"), "own.node") for k in range(1, HUBS))]
+        chosen = rows.groupBy("s").agg(*(F.min_by(F.struct("own", "label"), o).alias(f"x{k}") for k, o in enumerate(orders))).select("s", F.array_distinct(F.array(*(f"x{k}" for k in range(HUBS)))).alias("hubs"))
+        met = rows.join(chosen, "s").select("own", "label", F.explode("hubs").alias("x")).where((F.col("label") != F.col("x.label")) & rule(F.col("x.own"), F.col("own")))
+        met = met.groupBy(F.col("own.node").alias("a"), F.col("x.own.node").alias("b")).agg(F.count("*").alias("times"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("times", "b")), asc=False), 1, TRIES)  # of a node's hubs, HUBS for each of its shingles at most
+        stars = met.groupBy("a").agg(best.alias("best")).select("a", F.explode("best").alias("x")).select("a", F.col("x.b").alias("b"))
+        found, turn = written(found.unionByName(confirmed(stars))), turn + 1
 
 
 def blockwise(rows: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:

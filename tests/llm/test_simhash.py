@@ -2,11 +2,13 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import components, queries, simhash
+from quarry.llm import common, components, queries, simhash
 
 
 def fingerprint(text, words=3):
@@ -210,3 +212,52 @@ def test_pairs_just_at_the_similarity(spark):
             docs[2 * n + 1][at] = "changed"
     want = joined_by_sets(docs)
     assert similar(spark, docs) == want and 40 < sum(want[2 * n + 1] == 2 * n for n in range(150)) < 110
+
+
+@pytest.mark.parametrize("members", [200, 400, 800])
+def test_pairs_grow_with_the_family_not_its_square(spark, members, monkeypatch):
+    """Copies of one text, each with 12 of 240 words changed: most pairs of copies are below the similarity, all are near the text."""
+    rng = random.Random(members)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    base = rng.choices(vocabulary, k=240)
+    docs = [base]
+    for _ in range(members):
+        w = list(base)
+        at = rng.randrange(20, 200)
+        w[at : at + 12] = rng.choices(vocabulary, k=12)
+        w[rng.randrange(20)] = rng.choice(vocabulary)
+        docs.append(w)
+    judged = []
+    alike = simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, sets, similarity: (judged.append(pairs.count()), alike(pairs, sets, similarity))[1])
+    got = similar(spark, dict(enumerate(docs)))
+    assert set(got.values()) == {0} and sum(judged) <= 12 * members
+
+
+def test_one_of_each_by_row(spark):
+    """Repeated rows become one; an id with two texts is two documents; rows without an id don't stand or fall together."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "an entirely different text of some words")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, a, "x"), (None, c, "x"), (None, b, "x"), (None, "lonely words of a row without an id", "x"), (7, None, None), (8, "", None)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(3))
+    assert out.columns == ["doc_id", "text", "extra"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, a, "x"), (1, b, "x"), (None, c, "x"), (None, "lonely words of a row without an id", "x"), (7, None, None)], key=repr)
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_key_filter_loses_no_key(spark):
+    rng = random.Random(1)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    known = common.KeyFilter.of(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert known.has(np.array(keys)).all()
+    assert known.has(np.array([rng.getrandbits(64) - (1 << 63) for _ in range(5000)])).mean() < 0.01
+
+
+def test_tables_of_a_scope_go_at_its_end(spark):
+    with common.scope(spark):
+        with common.scope(spark):
+            inner, kept = common.written(spark.range(3)), common.written(spark.range(4), outer=True)
+        assert kept.count() == 4
+        with pytest.raises(Exception):
+            inner.count()
+    with pytest.raises(Exception):
+        kept.count()
