@@ -3,13 +3,17 @@
 The distinct pre-tokens of a batch stand in one flat array of symbols with an
 array of lengths. In each round every sequence finds the lowest merge rank among
 its neighbouring pairs and applies it at all its places at once; a sequence with no
-pair left is done, and what survives of it are its tokens. Text comes in chunks
+pair left is done, and what survives of it are its tokens. Long sequences would need
+as many rounds as they have different ranks, each over all of them; theirs are taken
+rank by rank from an index of places by rank, and only pairs beside a merge are
+looked up anew, so the work grows with the merges. Text comes in chunks
 (a run without white space, with the one space before it) whose counts don't depend
 on what stands around them, so counts of chunks seen lately are kept.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
@@ -29,6 +33,8 @@ CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NONE = np.iinfo(np.int64).max
 #: Chunks whose counts one worker keeps, in each of two generations.
 KEPT_CHUNKS = 250_000
+#: Symbols from which on a sequence counts as long.
+LONG = 65
 
 
 class MergeTable:
@@ -61,11 +67,67 @@ class MergeTable:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, at, -1)
 
+    def long_lengths(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``merged_lengths`` for long sequences: linked places, and an index of them by the rank of their pair."""
+        n = len(symbols)
+        symbols = np.append(symbols, 0)
+        ends = np.cumsum(lengths)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # n stands for no place
+        after[ends - 1] = n
+        before[np.append(0, ends[:-1])] = n
+        before[n] = n
+        rank = np.full(n + 1, NONE)
+        alive = np.ones(n, dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            rule = self.find(symbols[at], symbols[after[at]])
+            found = np.where((rule >= 0) & (after[at] < n), self.rank[rule], NONE)
+            rank[at] = found
+            at, found = at[found < NONE], found[found < NONE]
+            order = np.argsort(found, kind="stable")
+            values, first = np.unique(found[order], return_index=True)
+            for value, group in zip(values.tolist(), np.split(at[order], first[1:])):
+                if value not in places:
+                    places[value] = []
+                    heapq.heappush(waiting, value)
+                places[value].append(group)
+
+        look_up(np.arange(n))
+        while waiting:
+            lowest = heapq.heappop(waiting)
+            chosen = np.unique(np.concatenate(places.pop(lowest)))
+            chosen = chosen[rank[chosen] == lowest]
+            if not len(chosen):
+                continue
+            first = np.ones(len(chosen), dtype=bool)
+            first[1:] = after[chosen[:-1]] != chosen[1:]
+            chosen = chosen[self.every_other(first)]
+            symbols[chosen] = self.into[self.find(symbols[chosen], symbols[after[chosen]])]
+            gone = after[chosen]
+            alive[gone], rank[gone] = False, NONE
+            after[chosen] = after[gone]
+            before[after[chosen]] = chosen
+            beside = before[chosen]
+            look_up(np.unique(np.concatenate([chosen, beside[beside < n]])))
+        return np.add.reduceat(alive, ends - lengths, dtype=np.int64)
+
+    @staticmethod
+    def every_other(first: np.ndarray) -> np.ndarray:
+        """Of each run of neighbouring places, which begins where ``first`` is true, the first, third and so on."""
+        index = np.arange(len(first))
+        return (index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0
+
     def merged_lengths(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Symbols that survive in each sequence; every length is 1 or more."""
         out = lengths.copy()
-        live = np.flatnonzero(lengths > 1)
-        symbols = symbols[np.repeat(lengths > 1, lengths)]
+        long = lengths >= LONG
+        if long.any():
+            out[long] = self.long_lengths(symbols[np.repeat(long, lengths)], lengths[long])
+        short = (lengths > 1) & ~long
+        live = np.flatnonzero(short)
+        symbols = symbols[np.repeat(short, lengths)]
         lengths = lengths[live]
         while len(live):
             starts = np.cumsum(lengths) - lengths
@@ -78,10 +140,9 @@ class MergeTable:
             best = np.minimum.reduceat(rank, starts)
             chosen = np.flatnonzero((rank == np.repeat(best, lengths)) & (rank < NONE))
             # the same pair may overlap itself (aaa): of neighbouring places every other one merges
-            index = np.arange(len(chosen))
             first = np.ones(len(chosen), dtype=bool)
             first[1:] = np.diff(chosen) != 1
-            chosen = chosen[(index - np.maximum.accumulate(np.where(first, index, 0))) % 2 == 0]
+            chosen = chosen[self.every_other(first)]
             where = np.searchsorted(at, chosen)
             symbols[chosen] = self.into[rule[where]]
             stay = np.ones(len(symbols), dtype=bool)

@@ -97,3 +97,21 @@ def test_level_array_minimises_squares():
         choices = [0, *(k for k in range(1, 11 - s) if n[k])]
         assert squares(levels.best(s)) == min(map(squares, choices))
         levels.place(s, s)
+
+
+def test_long_words_of_varied_letters():
+    """Words on both sides of LONG, repeated letters that overlap, and a word of a million letters within seconds."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table, model, rng = token_counts.MergeTable(path), Tokenizer.from_file(path), random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (64, 65, 66, 1000, 20_000)]
+    texts += ["a" * k for k in (64, 65, 66, 67, 131, 1000)] + ["ab" * 200, "aab" * 300, "é" * 100 + "中文" * 60]
+    texts += [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(1, 200))) for _ in range(40)) for _ in range(20)]
+    assert table.count(texts) == [len(model.encode(t, add_special_tokens=False).ids) for t in texts]
+    began = time.time()
+    assert table.count(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))])[0] > 500_000
+    assert time.time() - began < 60
