@@ -195,18 +195,21 @@ def grow(x: np.ndarray, y: np.ndarray, direction: np.ndarray, trees: int = 80, d
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, seed: int = 11) -> Forest:
-    """A forest from the statistics of labelled documents, about ``most`` of them at most.
+    """A forest from the statistics of labelled documents, about ``most`` of them, twice as many at most.
 
     The sample is drawn by a hash of the id: with a chance that makes ``most`` rows
     likely, so that what is broadcast and what reaches the driver don't grow with the
-    corpus. Statistics are taken of the sampled documents alone.
+    corpus. Statistics are taken of the sampled documents alone; rows that agree in
+    id and statistics count once, and of a sample in which ids have many texts the
+    first rows by a hash stay. Rows without an id are not trained on.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l")).agg(F.min(label_col).alias("y"))
     n = known.count()
     chance = F.pmod(F.xxhash64(F.lit(seed), "l"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, most / max(n, 1))))
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    sample = document_statistics(own.join(F.broadcast(known.where(chance)), F.col("i") == F.col("l")), "i", "t", ("y",)).select("i", "features", "y").toPandas()
-    sample = sample.sort_values("i", kind="stable")
+    stats = document_statistics(own.join(F.broadcast(known.where(chance)), F.col("i") == F.col("l")), "i", "t", ("y",)).select("i", "features", "y").distinct()
+    sample = stats.orderBy(F.xxhash64(F.lit(seed), "i", "features")).limit(2 * most).toPandas()
+    sample = sample.assign(first=sample["features"].map(tuple)).sort_values(["i", "first"], kind="stable")
     x = np.array(sample["features"].tolist(), dtype=np.float64).reshape(len(sample), len(FEATURES))
     return grow(x, sample["y"].to_numpy(dtype=np.float64), np.array(list(FEATURES.values())))
 

@@ -99,22 +99,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """Sampled rows (``i``, ``t``, ``positive``, ``unlabelled``), and the class prior.
 
     Confirmed toxic rows are drawn from ``labels``, unlabelled ones from all of
-    ``docs`` whatever their label; a hash of the id decides, so that about
-    ``most_positive`` and ``most_unlabelled`` rows come out at most.
+    ``docs`` whatever their label. A hash of id and text decides, so that rows with
+    an id and a text in common are drawn together; they become one. Rows without an
+    id are left out. The chance makes about ``most_positive`` and ``most_unlabelled``
+    rows likely, and never more than twice as many stay: the first by the hash.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l")).agg(F.max("toxic").alias("toxic"))
     labelled, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = docs.count()
-    drawn = lambda c, n, most: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << 24)) < F.lit(int((1 << 24) * min(1.0, most / max(n, 1))))
-    # about most_positive ids at most, so the side that is broadcast is bounded
-    positive = F.broadcast(known.where((F.col("toxic") == 1) & drawn("l", toxic, most_positive)).select("l"))
-    picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).join(positive, F.col("i") == F.col("l"), "left")
-    picked = picked.where(F.col("l").isNotNull() | F.coalesce(drawn(F.col("i"), rows, most_unlabelled), F.lit(False)))
-    flagged = picked.select("i", "t", F.col("l").isNotNull().alias("positive"), F.coalesce(drawn(F.col("i"), rows, most_unlabelled), F.lit(False)).alias("unlabelled"))
-
-    return written(flagged), (toxic + 0.5) / (labelled + 1)
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    own = own.withColumn("h", F.xxhash64(F.lit(seed), "i", "t"))
+    rows = own.count()
+    drawn = lambda c, n, most: F.pmod(c, F.lit(1 << 24)) < F.lit(int((1 << 24) * min(1.0, most / max(n, 1))))
+    # most_positive ids at most on average, so the side that is broadcast is bounded
+    positive = F.broadcast(known.where((F.col("toxic") == 1) & drawn(F.xxhash64(F.lit(seed), "l"), toxic, most_positive)).select("l"))
+    unlabelled = drawn(F.col("h"), rows, most_unlabelled)
+    picked = own.join(positive, F.col("i") == F.col("l"), "left").where(F.col("l").isNotNull() | unlabelled)
+    picked = picked.groupBy("i", "h").agg(F.first("t").alias("t"), F.first(F.col("l").isNotNull()).alias("positive"), F.first(unlabelled).alias("unlabelled"))
+    picked = written(picked)
+    # one id may have any number of texts: what is trained on is held to a number of rows
+    last = lambda flag, most: picked.where(flag).orderBy("h").select("h").offset(most).limit(1).first()
+    for flag, most in (("positive", most_positive), ("unlabelled", most_unlabelled)):
+        if (end := last(flag, 2 * most)) is not None:
+            picked = picked.withColumn(flag, F.col(flag) & (F.col("h") < F.lit(end["h"])))
+    return picked.where("positive or unlabelled").select("i", "t", "positive", "unlabelled"), (toxic + 0.5) / (labelled + 1)
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -152,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     positives, unlabelled = rows.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
     if not positives or not unlabelled:
         return Model([], np.zeros(0), float(np.log(prior / (1 - prior))))
-    # copies of one text have one label: how sure a difference is counts texts, not copies
+    # copies of one text under several ids have one label: how sure a difference is counts texts, not copies
     distinct = rows.groupBy(F.xxhash64("t").alias("h")).agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"), F.first("t").alias("t"))
     share = (F.col("p") + F.col("u") + 1) / (positives + unlabelled + 2)
     sure = (F.col("p") / positives - F.col("u") / unlabelled) / F.sqrt(share * (1 - share) * (1 / positives + 1 / unlabelled))

@@ -71,3 +71,75 @@ def test_toxicity_edge_rows(spark, awkward, clashing, nothing):
     assert toxicity.toxicity(nothing, nothing, labels).count() == 0
     prior = toxicity.toxicity(awkward, awkward, labels.where("toxic = 0")).select(F.countDistinct("score")).first()[0]
     assert prior == 1
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    """500 rows without an id, 700 copies of one row, and an id with 300 texts: none of them widens the sample."""
+    rows = [(None, f"without an id {n}") for n in range(500)] + [(7, "the same words again")] * 700 + [(8, f"another text {n} of one id") for n in range(300)] + [(100 + n, f"clean text number {n}") for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (8, 1), (None, 1), (101, 0)], "doc_id long, toxic int")
+    sample, prior = toxicity.training_rows(docs, labels, "doc_id", "text", 20, 30, 5)
+    got = sample.collect()
+    assert None not in {r.i for r in got} and sum(r.i == 7 and r.positive for r in got) <= 1
+    assert 0 < sum(r.positive for r in got) <= 40 and 0 < sum(r.unlabelled for r in got) <= 60
+    everything = toxicity.training_rows(docs, labels, "doc_id", "text", 4000, 10_000, 5)[0].collect()
+    assert len(everything) == 1 + 300 + 200 and abs(prior - 2.5 / 4) < 1e-12
+    quality_labels = spark.createDataFrame([(7, 1), (8, 0), *((100 + n, n % 2) for n in range(200))], "doc_id long, quality int")
+    seen = []
+    grow = quality.grow
+    quality.grow = lambda x, y, direction: seen.append(len(y)) or grow(x, y, direction)
+    try:
+        quality.fit(docs, quality_labels, most=20)
+        quality.fit(docs, quality_labels, most=20_000)
+    finally:
+        quality.grow = grow
+    assert seen[0] <= 40 and seen[1] <= 501
+
+
+def test_nn_pu_equals_a_plain_version():
+    """The same steps with dense rows and one loss at a time."""
+    rng = np.random.default_rng(4)
+    size, prior = 12, 0.3
+    dense = [(rng.random((n, size)) < p).astype(float) for n, p in ((30, 0.5), (50, 0.2))]
+    weight, bias = toxicity.nn_pu(*([np.flatnonzero(r) for r in x] for x in dense), size, prior, steps=120)
+    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in dense)
+    theta, m, v = np.append(np.zeros(size), -1.0), np.zeros(size + 1), np.zeros(size + 1)
+    turned = 0
+    for step in range(1, 121):
+        sp, su = 1 / (1 + np.exp(-p @ theta)), 1 / (1 + np.exp(-u @ theta))
+        negative = np.mean(-np.log(1 - su)) - prior * np.mean(-np.log(1 - sp))
+        g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+        g = prior * (p.T @ (sp - 1)) / len(p) + g_negative if negative >= 0 else -g_negative
+        turned += negative < 0
+        g[:-1] += 1e-4 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(weight, theta[:-1], atol=1e-6) and abs(bias - theta[-1]) < 1e-6
+
+
+def test_node_arrays_equal_a_plain_walk():
+    rng = np.random.default_rng(6)
+    x = rng.random((600, 4))
+    y = ((x[:, 0] + x[:, 1] ** 2 > 0.9) ^ (rng.random(600) < 0.1)).astype(float)
+    forest = quality.grow(x, y, np.array([0, 1, 0, 0]), trees=20)
+
+    def walk(row):
+        margin = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 if row[feature[node]] <= threshold[node] else 2 * node + 2
+            margin += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-margin))
+
+    assert np.allclose(forest.scores(x[:100]), [walk(r) for r in x[:100]])
+
+
+def test_kept_is_the_verdict_of_the_trees(spark, sf_dir):
+    """``kept`` from whole tables against statistics and trees of single texts."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    forest = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.quality_rules(docs, labels).collect():
+        score = forest.scores(np.array([quality.statistics((texts[r.doc_id] or "").encode())])[:, len(quality.BASE) :])[0]
+        assert r.kept == (not r.base_failed and score >= 0.5)
