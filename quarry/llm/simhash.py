@@ -154,27 +154,31 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> Data
     return docs.select(carry, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"{carry} long, shingles array<long>")
 
 
-def judged_sets(docs: DataFrame, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """``fp`` and ``shingles`` of the sets whose texts ``wanted`` (``key``: a hash of the text) has, each once.
+def judged_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
+    """``fp`` and ``shingles`` of the sets of the rows that ``wanted`` (``one``: id and hash of the text) names.
 
-    A filter of the keys goes to the texts, so that only the sets asked for are made
-    and moved; a few others that the filter lets through do no harm.
+    A filter of these rows goes to the texts, so that only the sets asked for are
+    made; a few others that the filter lets through do no harm. A task gives equal
+    sets once.
     """
     from xxhash import xxh64_intdigest
 
     small_batches(docs.sparkSession)
-    known = KeyFilter.of(wanted, "key")
+    row = lambda id, key: F.xxhash64(id, key).alias("row")
+    known = KeyFilter.of(wanted.select(row(F.col("one.id"), F.col("one.key"))), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            asked = batch.filter(pa.array(known.has(batch.column("key").to_numpy())))
+            asked = batch.filter(pa.array(known.has(batch.column("row").to_numpy())))
             for part in runs_of_bytes(asked, "t"):
-                sets = [shingle_set(t, words) for t in part.column("t").to_pylist()]
-                fps = np.array([xxh64_intdigest(found.tobytes(), 42) for found in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array([found.view(np.int64) for found in sets], pa.list_(pa.int64()))], ["fp", "shingles"])
+                found = {xxh64_intdigest(x.tobytes(), 42): x.view(np.int64) for x in (shingle_set(t, words) for t in part.column("t").to_pylist())}
+                found = {fp: x for fp, x in found.items() if fp not in given}
+                given.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.list_(pa.int64()))], ["fp", "shingles"])
 
-    found = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "fp long, shingles array<long>")
-    return one_each(found)
+    rows = docs.select(row(F.col(id_col), F.xxhash64(text_col)), F.col(text_col).cast("binary").alias("t"))
+    return written(rows.mapInArrow(run, "fp long, shingles array<long>"))
 
 
 def ragged(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +317,7 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, words: int,
         shared = shared_shingles(prints)
         pairs = written(near.unionByName(pairs_of_small(shared, similarity)).distinct())
         judged = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(shared.where(F.col("size") > SMALL_BUCKET).select(F.col("node").alias("fp"))).distinct()
-        sets = judged_sets(docs, text_col, words, nodes.join(judged, "fp", "left_semi").select("one.key"))
+        sets = judged_sets(docs, id_col, text_col, words, nodes.join(judged, "fp", "left_semi").select("one"))
         labels = connected_components(similar_links(pairs, shared, sets, similarity))
         of_node = written(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "one", F.coalesce("label", "fp").alias("label")))
         # written one by one: then both sides of each join are dealt out by it alone, and a large component or a text with many copies can be split
@@ -404,7 +408,7 @@ def similar_links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, similari
     on as long as they join much; what then is apart is compared pair by pair.
     """
     rule = lambda a, b: can_reach(a, b, similarity)
-    confirmed = lambda pairs: written(alike(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity))
+    confirmed = lambda pairs: written(alike(written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, similarity).distinct())
     found = confirmed(pairs)
     numbers = bucket_numbers(shared)
     large = shared.where(F.col("size") > SMALL_BUCKET).join(numbers.select("node", "large"), "node").select("s", F.struct("node", "n").alias("own"), "large")
@@ -440,18 +444,20 @@ def blockwise(rows: DataFrame, rule: Callable[[Column, Column], Column]) -> Data
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def one_each(sets: DataFrame) -> DataFrame:
-    return written(sets.groupBy("fp").agg(F.min("shingles").alias("shingles")))
-
-
 def as_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose ``sets`` (``fp``, ``shingles``) have the Jaccard similarity or more."""
-    return alike(pairs, one_each(sets), similarity)
+    return alike(pairs, sets.groupBy("fp").agg(F.min("shingles").alias("shingles")), similarity)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``as_similar`` for sets of which each is there once."""
-    end = lambda n: sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"of_{n}"))
-    both = written(pairs.join(end("a"), "a")).join(end("b"), "b")
+    """``as_similar`` for sets of which each is there once, or a few times: then pairs are, too. Only sets of the pairs are moved."""
+    known = KeyFilter.of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp")
+
+    @F.pandas_udf("boolean")
+    def asked(fp: pd.Series) -> pd.Series:
+        return pd.Series(known.has(fp.to_numpy()))
+
+    own = sets.where(asked("fp"))
+    end = lambda n: own.select(F.col("fp").alias(n), F.col("shingles").alias(f"of_{n}"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(common >= F.round(similarity * (F.size("of_a") + F.size("of_b") - common), 9)).select("a", "b")
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(common >= F.round(similarity * (F.size("of_a") + F.size("of_b") - common), 9)).select("a", "b")
