@@ -111,7 +111,12 @@ def first_instagram(html: Column) -> Column:
     return F.get(F.filter(F.transform(_all(html, "(?i)instagram\\.com/([A-Za-z0-9_.]{1,30})"), instagram_user), lambda x: x.isNotNull()), F.lit(0))
 
 
-def _same_as(node, out: list[str], depth: int, most: int = 50, deepest: int = 6) -> None:
+#: Members of a JSON-LD node that are visited before all others.
+NESTED = ("@graph", "hasPart", "mainEntity")
+
+
+def _same_as(node, out: list[str], depth: int, most: int = 50, deepest: int = 6, widest: int = 30) -> None:
+    """Links of a node, then of its NESTED members, then of its first ``widest`` members in order; repeats are dropped later."""
     if depth > deepest or len(out) >= most:
         return
     if isinstance(node, list):
@@ -120,8 +125,9 @@ def _same_as(node, out: list[str], depth: int, most: int = 50, deepest: int = 6)
     elif isinstance(node, dict):
         own = node.get("sameAs", [])
         out += [x.strip() for x in (own if isinstance(own, list) else [own]) if isinstance(x, str) and x.strip()]
-        for key, child in node.items():
-            if key != "sameAs" and isinstance(child, (dict, list)):
+        later = [child for key, child in list(node.items())[:widest] if key not in ("sameAs", "@graph")]
+        for child in [*(node[key] for key in NESTED if key in node), *later]:
+            if isinstance(child, (dict, list)):
                 _same_as(child, out, depth + 1)
 
 

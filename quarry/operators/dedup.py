@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialized
+
 
 def existing_match(candidates: DataFrame, existing: DataFrame, keys: dict[str, list[str]], id_col: str = "id") -> DataFrame:
     """``candidates`` with ``existing_id`` and ``reason``: the first of ``keys`` (reason: columns) that an existing row shares.
@@ -45,39 +47,69 @@ def seen_before(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return rows.withColumn("__key", key).withColumn("seen", F.col("__key").isNotNull() & (F.row_number().over(Window.partitionBy("__key").orderBy(*order)) > 1)).drop("__key")
 
 
-def greedy_accept(rows: DataFrame, rank: str, keys: list[str], rounds: int = 50) -> DataFrame:
+def greedy_accept(rows: DataFrame, rank: str, keys: list[str]) -> DataFrame:
     """``rows`` with ``accepted``: what a scan in order of ``rank`` accepts that skips every row sharing a key with an accepted one.
 
     Row by row is not needed: a row that is the first of all its keys among the
     undecided is accepted, rows that share a key with an accepted one are dropped,
-    and this is repeated; chains of shared keys are short. ``rank`` must be unique;
+    and this is repeated until nothing is undecided: the row of the least rank always
+    is decided, so any chain of shared keys comes to its end. ``rank`` must be unique;
     null keys are shared with nobody. Each round reads what the last one wrote.
     """
     pairs = rows.select(F.col(rank).alias("r"), F.explode(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys))).alias("k")).where("k IS NOT NULL").distinct()
     accepted = rows.select(F.col(rank).alias("r")).join(pairs.select("r").distinct(), "r", "left_anti")
-    undecided = _kept(pairs)
-    for _ in range(rounds):
-        if undecided.isEmpty():
-            joined = accepted.withColumn("accepted", F.lit(True))
-            return rows.join(joined, rows[rank] == joined["r"], "left").drop("r").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    undecided = materialized(pairs)
+    while not undecided.isEmpty():
         first = undecided.groupBy("k").agg(F.min("r").alias("first"))
-        now = _kept(undecided.join(first, "k").groupBy("r").agg(F.min((F.col("r") == F.col("first")).cast("int")).alias("all_first")).where("all_first = 1").select("r"))
+        now = materialized(undecided.join(first, "k").groupBy("r").agg(F.min((F.col("r") == F.col("first")).cast("int")).alias("all_first")).where("all_first = 1").select("r"))
         taken = undecided.join(now, "r", "left_semi").select("k").distinct()
         lost = undecided.join(taken, "k", "left_semi").select("r").distinct()
-        undecided = _kept(undecided.join(lost, "r", "left_anti"))
+        undecided = materialized(undecided.join(lost, "r", "left_anti"))
         accepted = accepted.unionByName(now)
-    raise ValueError("keys chain further than the given rounds")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once: in the shared checkpoint folder if the session names one."""
-    context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    joined = accepted.withColumn("accepted", F.lit(True))
+    return rows.join(joined, rows[rank] == joined["r"], "left").drop("r").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+#: Kinds of duplicates in a batch, in the order in which they are looked for.
+KINDS = ("SOURCE", "PHONE", "INSTAGRAM", "GLOBAL")
+
+
+def batch_duplicates(rows: DataFrame, pool: DataFrame, leads: DataFrame, rank: str = "rank") -> DataFrame:
+    """``rows`` with ``kind``: NONE for those that a scan in order of ``rank`` accepts, else how the first test that fails says.
+
+    ``rows`` and ``pool`` have source, phone, instagram; ``leads`` has phone,
+    instagram, global_source, and ``rows`` global_source as well. Tests, in order:
+    the source was accepted before or is in the pool (SOURCE); the phone is a lead's
+    (GLOBAL), was accepted before or is in the pool (PHONE); so for Instagram
+    (INSTAGRAM); the global source is a lead's (GLOBAL). What fails against pool or
+    leads never stands in another row's way. Blank keys are none.
+    """
+    keys = ("source", "phone", "instagram")
+    known = rows
+    for side, table, columns in (("pool", pool, keys), ("lead", leads, ("phone", "instagram", "global_source"))):
+        for c in columns:
+            own = table.select(F.trim(c).alias("__k")).where("__k <> ''").distinct().withColumn(f"__{side}_{c}", F.lit(True))
+            known = known.join(own, F.col(c) == F.col("__k"), "left").drop("__k")
+    has = lambda side, c: F.coalesce(F.col(f"__{side}_{c}"), F.lit(False))
+    flags = [*(("pool", c) for c in keys), *(("lead", c) for c in ("phone", "instagram", "global_source"))]
+    barred = F.greatest(*(has(*f) for f in flags))
+    known = materialized(known.withColumn("__barred", barred))
+    accepted = materialized(greedy_accept(known.where("not __barred").select(rank, *keys), rank, list(keys)).where("accepted").select(rank, *keys))
+    for c in keys:
+        first = accepted.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__k")).agg(F.min(rank).alias(f"__first_{c}"))
+        known = known.join(first, F.col(c) == F.col("__k"), "left").drop("__k")
+    seen = lambda c: F.coalesce(F.col(f"__first_{c}") < F.col(rank), F.lit(False))
+    kind = F.when(seen("source") | has("pool", "source"), "SOURCE")
+    for c in ("phone", "instagram"):
+        kind = kind.when(has("lead", c), "GLOBAL").when(seen(c) | has("pool", c), c.upper())
+    kind = kind.when(has("lead", "global_source"), "GLOBAL").otherwise("NONE")
+    return known.withColumn("kind", kind).drop("__barred", *(f"__{a}_{c}" for a, c in flags), *(f"__first_{c}" for c in keys))
+
+
+def duplicate_counters(rows: DataFrame) -> DataFrame:
+    """One row: duplicates by phone, by Instagram and of any other kind, and their sum."""
+    counts = rows.agg(F.count_if(F.col("kind") == "PHONE").alias("duplicate_phone"), F.count_if(F.col("kind") == "INSTAGRAM").alias("duplicate_instagram"), F.count_if(F.col("kind").isin("SOURCE", "GLOBAL")).alias("duplicate_source"))
+    return counts.withColumn("duplicates", F.col("duplicate_phone") + F.col("duplicate_instagram") + F.col("duplicate_source"))
 
 
 def accept_quota(rows: DataFrame, rank: str, keys: list[str], quota: int, eligible: Column | None = None) -> DataFrame:

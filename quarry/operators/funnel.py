@@ -74,6 +74,12 @@ def skip_scan(outcome: Column, known: Column, current: Column, version: Column,
     )
 
 
+def with_scan_state(candidates: DataFrame, known: DataFrame, keys: list[str], version: str, as_of: Column) -> DataFrame:
+    """``candidates`` (with ``stamp``) joined with the state of their last scan, and ``skipped``: one lookup join on the keys."""
+    joined = candidates.join(known, keys, "left")
+    return joined.withColumn("skipped", skip_scan(F.col("outcome"), F.col("known"), F.col("stamp"), F.col("version"), version, F.col("retry_after"), as_of))
+
+
 #: Where a candidate can leave the sync funnel, in order.
 STAGES = ("NOT_COMMERCIAL", "NOT_POTENTIAL", "SCAN_SKIPPED", "NO_OFFICIAL_CONTACT_CHANNEL", "TECHNICAL_FAILURE", "NICHE_NOT_CONFIRMED", "NO_INSTAGRAM", "NO_PHONE", "DUPLICATE", "NOT_ON_WHATSAPP")
 

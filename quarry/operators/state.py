@@ -64,3 +64,14 @@ def attempts(events: DataFrame, key: str, order: list[str], claimed: Column) ->
     """``events`` with ``attempt``: how many claims of its send there were up to each."""
     so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("attempt", F.count_if(claimed).over(so_far))
+
+
+def update_from(rows: DataFrame, values: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with the ``columns`` that ``values`` (one row a key) has for their keys; other rows keep theirs."""
+    taken = values.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns))
+    return rows.join(taken, keys, "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*(f"__{c}" for c in columns))
+
+
+def run_outcome(targets: DataFrame, succeeded: Column, error: Column, now: Column) -> DataFrame:
+    """Targets after a run: a success sets its time and clears the error, a failure only sets the error."""
+    return targets.withColumns({"last_success_at": F.when(succeeded, now).otherwise(F.col("last_success_at")), "last_error": F.when(succeeded, F.lit(None).cast("string")).otherwise(error)})

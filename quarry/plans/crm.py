@@ -274,11 +274,11 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), "user_id", pairs.alias("tags"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS tier, event_type <> 'error' AS commercial FROM events ORDER BY tier, event_id LIMIT 500")
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS tier, event_type <> 'error' AS commercial FROM events")
 def tier_sort(spark, d):
     t = tagged(spark, d)
     rows = t.select("event_id", niches.priority_tier(F.col("tags")).alias("tier"), niches.commercial_or_contact(F.col("tags")).alias("commercial"))
-    return rows.orderBy("tier", "event_id").limit(500)
+    return rows.orderBy("tier", "event_id")
 
 
 @query(
@@ -394,7 +394,7 @@ def link_extract(spark, d):
 def page_contacts(spark, d):
     """Links to hubs and contact pages, the first user, phone and mail address, and the booking system of every page."""
     page, url, none = F.col("html"), F.col("url"), F.lit(None).cast("string")
-    booking = html.booking_system(url, page)
+    booking = html.booking_system(url, html.first_instagram(page))  # signals count in addresses and handles, not in prose
     phone = html.first_phone(page, none, "WEBSITE")
     return table(spark, d, "pages").select(
         "page_id", html.hub_links(url, page).alias("hubs"), html.contact_links(url, page).alias("contact_pages"), html.first_instagram(page).alias("instagram"), phone["number"].alias("phone"), phone["source"].alias("phone_source"),

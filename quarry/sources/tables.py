@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,9 +12,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _place(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a table in the shared folder ``spark.checkpoint.dir``, which goes with the session.
+
+    Only a local session without that setting gets a temporary folder. Unlike a
+    checkpoint it has its true size, so estimates don't multiply from round to round.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tables-")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """One write of a table that was computed as a whole; readers see the old or the new folder's files."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Replace a table as a whole: the new files are written beside it and then take its name.
+
+    A write that fails leaves the table as it is. Between the two renames there is a
+    moment without a table; a store that can't rename folders copies instead.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, former = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    df.write.partitionBy(*partition_by).parquet(fresh)
+    files, place = _place(spark, path)
+    if files.exists(place):
+        files.rename(place, _place(spark, former)[1])
+    files.rename(_place(spark, fresh)[1], place)
+    files.delete(_place(spark, former)[1], True)
 
 
 def append(df: DataFrame, path: str) -> None:

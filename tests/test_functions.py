@@ -1,5 +1,7 @@
 """Literal cases of single functions."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,12 @@ def test_rules_in_order(spark):
     assert tuple(got) == ("unknown", "unknown", "UNKNOWN", True, 100)
     assert value(spark, scoring.analysis(x)["opportunity_score"], x='{"opportunity_score": 4.5}') is None
     assert value(spark, scoring.budget(F.lit(10), F.lit(3), F.lit(5), F.lit(20)), x="") == 20
+
+
+def test_same_as_visits_graph_and_main_entity_first(spark):
+    """Of twelve links the first ten in order of the visit stay."""
+    link = lambda n: f"https://x.example/{n}"
+    node = {"other": {"sameAs": [link(n) for n in range(6, 12)]}, "mainEntity": {"sameAs": [link(3), link(4)]}, "@graph": [{"sameAs": link(1)}, {"sameAs": link(2)}], "sameAs": link(0), "hasPart": {"sameAs": " "}, "about": {"sameAs": link(5)}}
+    page = f'<script type="application/ld+json">{json.dumps(node)}</script>'
+    got = spark.createDataFrame([(page,)], "h string").select(html.same_as(F.col("h")).alias("s")).first().s
+    assert got == [link(n) for n in (0, 1, 2, 3, 4, 6, 7, 8, 9, 10)]

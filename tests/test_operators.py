@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dedup, funnel, niches, state
+from quarry.operators import dedup, funnel, messaging, niches, state
+from quarry.sources import tables
 from quarry.sources.tables import append, publish, table
 from quarry.streaming import events
 
@@ -84,3 +86,45 @@ def test_streams_agree_with_the_tables(spark, sf_dir, tmp_path):
     assert total[0] + total[1] == batch.count() and total[0] >= batch.select("user_id").distinct().count()
     sent = events.send_transitions(spark.createDataFrame([(1, None, 1), (2, "WHATSAPP_NOT_CONNECTED", 2), (3, "WHATSAPP_NOT_CONNECTED", 5), (4, "INVALID_TEXT", 1), (5, "ODD", 1)], "id long, code string, attempts int"))
     assert [r["next_status"] for r in sent.orderBy("id").collect()] == ["SENT", "QUEUED", "FAILED", "FAILED", "DELIVERY_UNKNOWN"]
+
+
+def test_a_long_chain_of_shared_keys(spark):
+    """106 rows, each sharing a key with the next: every other one is accepted, however far the chain goes."""
+    rows = spark.createDataFrame([(n, f"p{n // 2}", f"i{(n + 1) // 2}") for n in range(1, 107)], "rank long, phone string, instagram string")
+    got = {r["rank"]: r["accepted"] for r in dedup.greedy_accept(rows, "rank", ["phone", "instagram"]).collect()}
+    assert got == {n: n % 2 == 1 for n in range(1, 107)}
+
+
+def test_batch_duplicates_by_kind(spark):
+    """Source before phone before Instagram; a lead's key is GLOBAL; what is a duplicate stands in nobody's way."""
+    rows = [(1, "node/1", "55", "a"), (2, "node/1", "56", "b"), (3, "node/3", "55", "c"), (4, "node/4", "57", "a"), (5, "node/5", "90", "d"), (6, "node/6", None, "z"), (7, "node/7", "91", "e"), (8, "node/8", "56", "b"), (9, "node/9", None, None), (10, "node/10", "92", "d")]
+    df = spark.createDataFrame([(*r, f"openstreetmap_{r[1]}") for r in rows], "rank long, source string, phone string, instagram string, global_source string")
+    pool = spark.createDataFrame([("node/7", "70", None)], "source string, phone string, instagram string")
+    leads = spark.createDataFrame([("90", "z", " "), (" ", None, "openstreetmap_node/9")], "phone string, instagram string, global_source string")
+    got = {r["rank"]: r["kind"] for r in dedup.batch_duplicates(df, pool, leads).collect()}
+    assert got == {1: "NONE", 2: "SOURCE", 3: "PHONE", 4: "INSTAGRAM", 5: "GLOBAL", 6: "GLOBAL", 7: "SOURCE", 8: "NONE", 9: "GLOBAL", 10: "NONE"}
+    assert dedup.duplicate_counters(dedup.batch_duplicates(df, pool, leads)).first().asDict() == {"duplicate_phone": 1, "duplicate_instagram": 1, "duplicate_source": 5, "duplicates": 7}
+
+
+def test_publish_replaces_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.publish(spark.range(3), path)
+    tables.publish(spark.range(10, 12), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10, 11] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+    broken = spark.range(3).selectExpr("raise_error('no') AS x")
+    with pytest.raises(Exception):
+        tables.publish(broken, path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_blocking_sends_of_other_campaigns(spark):
+    """A recipient that another campaign has written to is blocked under any lead; the own campaign comes first."""
+    leads = spark.createDataFrame([(1, "11999990000", None, False), (2, "+55 11 99999-0000", None, False), (3, "123", None, False), (4, None, None, False), (5, "11988887777", None, True), (6, "11977776666", None, False)], "lead_id long, phone string, country string, do_not_contact boolean")
+    members = spark.createDataFrame([(c, i, i != 6 or c == 1) for c in (1, 2) for i in range(1, 7)], "campaign_id long, lead_id long, member boolean")
+    sends = spark.createDataFrame([(10, 1, 1, "5511999990000", "SENT", 2, 1), (11, 2, 1, "5511999990000", "QUEUED", 1, 2), (12, 1, 6, "5511977776666", "FAILED", 3, 3)], "id long, campaign_id long, lead_id long, recipient string, status string, attempts long, created_at long")
+    analyses = spark.createDataFrame([(1, 80)], "lead_id long, score long")
+    got = {(r.campaign_id, r.lead_id): r for r in messaging.messaging_leads(members, leads, analyses, sends).collect()}
+    codes = {k: r.code for k, r in got.items()}
+    assert codes[1, 1] == "ALREADY_SENT" and codes[2, 1] == "ALREADY_QUEUED" and codes[1, 2] == "ALREADY_QUEUED" and codes[2, 2] == "ALREADY_SENT"
+    assert [codes[1, i] for i in (3, 4, 5, 6)] == ["INVALID_PHONE", "NO_PHONE", "DO_NOT_CONTACT", None] and codes[2, 6] == "WRONG_CAMPAIGN"
+    assert got[1, 1].score == 80 and got[1, 1].n_sends == 2 and (got[1, 6].latest_status, got[1, 6].attempts, got[1, 6].eligible) == ("FAILED", 3, True)
