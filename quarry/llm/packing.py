@@ -4,8 +4,10 @@ Each task packs the documents of its partition as they come. A level array holds
 for every fill level, how many windows stand at it. A document longer than a window
 first fills windows of its own; what is left goes to the level where the sum of the
 squared counts of partly filled windows becomes least, or into a new window. At the
-end of the partition the windows still open are joined, cutting pieces where a
-window is full, so that one window of a partition at most is padded.
+end of the partition the windows still open are joined through the same level array:
+the fullest one takes the fullest others that it has room for. If at most WASTE of it
+stays free it is closed; only the few windows that nothing fits are cut, and one
+window of a partition at most is padded by more.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import TwoGenerations, runs_of_bytes, small_batches
 
 #: Chunks whose ids one worker keeps, in each of two generations.
 KEPT_CHUNKS = 400_000
+#: Share of a window that may stay free when nothing else fits into it.
+WASTE = 0.02
 #: Bits of a sequence id below the partition's number.
 LOCAL_BITS = 40
 
@@ -102,9 +106,23 @@ class Levels:
         self.count[level + s] += 1
         return None
 
-    def rest(self) -> Iterator[list]:
-        for level in sorted(self.windows, reverse=True):
-            yield from self.windows[level]
+    def take(self, most: int) -> list | None:
+        """Take out a window of the highest level up to ``most``."""
+        levels = np.flatnonzero(self.count[1 : most + 1])
+        if not len(levels):
+            return None
+        level = int(levels[-1]) + 1
+        self.count[level] -= 1
+        return self.windows[level].pop()
+
+    def closed(self, waste: int) -> Iterator[tuple[list, bool]]:
+        """The windows still open, joined as far as they fit whole, and whether one is full but for ``waste``."""
+        while (window := self.take(self.size)) is not None:
+            free = self.size - sum(len(p[2]) // 4 for p in window)
+            while free > waste and (more := self.take(free)) is not None:
+                free -= sum(len(p[2]) // 4 for p in more)
+                window = window + more
+            yield window, free <= waste
 
 
 def pack_ids(ids: Iterator[tuple[object, bytes]], size: int, first: int) -> Iterator[tuple]:
@@ -129,7 +147,11 @@ def pack_ids(ids: Iterator[tuple[object, bytes]], size: int, first: int) -> Iter
                 yield from rows(full)
                 sequence += 1
     window, fill = [], 0
-    for left in levels.rest():
+    for left, whole in levels.closed(int(WASTE * size)):
+        if whole:
+            yield from rows(left)
+            sequence += 1
+            continue
         for doc, start, data, total in left:
             while data:
                 take = min(len(data) // 4, size - fill)
