@@ -2,13 +2,15 @@
 
 The base patterns find assignments, access keys and hex strings. The battery looks
 at other runs of token characters: it infers the encoding (the smallest alphabet
-that holds the run), and tests the run against it. Words of a language use an
-alphabet unevenly: their chi-squared statistic grows with their length. The p-value
-of a run is the chance that a run of words of its length looks as even as it does;
-a run whose number of runs above and below the middle, or whose serial correlation,
-is not that of random letters gets 1. Which p-values count is decided by the
-Benjamini-Hochberg rule within classes of length, as short runs are many and tell
-little.
+that holds the run), and tests the run against it three ways. The hypothesis to be
+rejected is that the run is made of words. Words use an alphabet unevenly, so their
+chi-squared statistic grows with their length; their number of runs above and below
+the middle of the alphabet, and the serial correlation of neighbours, stray further
+from what is expected of random letters than random letters do. Each test gives the
+chance that words of this length look as random as the run does; Fisher's method
+makes one p-value of the three. Which p-values count is decided by the
+Benjamini-Hochberg rule within classes of encoding and length, as short runs are
+many and tell little.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ RANDOM = "[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings from the smallest alphabet up: name, letters, and how much unevenness a character of words adds to chi-squared.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
+    ("digits", DIGITS, 0.6),
     ("HEX", DIGITS + "ABCDEF", 1.0),
+    ("lower", LOWER, 0.8),
+    ("upper", UPPER, 0.8),
     ("base32", UPPER + "234567", 1.1),
     ("base36", DIGITS + LOWER, 1.4),
     ("letters", UPPER + LOWER, 2.4),
@@ -41,6 +46,8 @@ ENCODINGS = (
     ("base64", UPPER + LOWER + DIGITS + "+/", 3.1),
     ("base64url", UPPER + LOWER + DIGITS + "-_", 3.1),
 )
+#: How far runs and serial correlation of words stray, in standard deviations of random letters.
+SPREAD = 3.0
 #: P-values are kept as steps of -log p: level l stands for exp(-l / LEVELS_PER_UNIT), rounded up.
 LEVELS_PER_UNIT, TOP_LEVEL = 16, 1600
 CLASSES = 32
@@ -56,44 +63,40 @@ def in_letters(run: Column, letters: str) -> Column:
 
 
 def encoding(run: Column) -> Column:
-    """The number of the run's encoding; null for one kind of letters or digits alone, which no encoding explains."""
-    lower, upper, digit = run.rlike("[a-z]"), run.rlike("[A-Z]"), run.rlike("[0-9]")
-    mixed = lower.cast("int") + upper.cast("int") + digit.cast("int") >= 2
+    """The number of the run's encoding; null if no encoding has all its characters."""
     out = F.lit(None).cast("int")
     for n in reversed(range(len(ENCODINGS))):
         out = F.when(in_letters(run, ENCODINGS[n][1]), F.lit(n)).otherwise(out)
-    return F.when(mixed, out)
+    return out
 
 
-def battery(run: Column) -> Column:
-    """The level of the run's p-value (see LEVELS_PER_UNIT), null for a run without an encoding."""
-    body = F.rtrim(run, F.lit("="))
-    levels = [_level(body, letters, bias) for _, letters, bias in ENCODINGS]
-    code = encoding(body)
-    out = F.lit(None).cast("int")
-    for n, level in enumerate(levels):
-        out = F.when(code == n, level).otherwise(out)
-    return out
+def of_encoding(code: Column, values: list) -> Column:
+    """The value of the run's encoding, of a list with one for each."""
+    return F.get(F.array(*map(F.lit, values)), code)
 
 
-def _level(body: Column, letters: str, bias: float) -> Column:
-    k, n = len(letters), F.length(body).cast("double")
+def battery(body: Column, code: Column) -> Column:
+    """The level of the p-value (see LEVELS_PER_UNIT) of a run, without padding, that has the encoding ``code``."""
+    letters = of_encoding(code, [x for _, x, _ in ENCODINGS])
+    halves = of_encoding(code, ["0" * (len(x) // 2) + "1" * (len(x) - len(x) // 2) for _, x, _ in ENCODINGS])
+    k, n, noise = of_encoding(code, [float(len(x)) for _, x, _ in ENCODINGS]), F.length(body).cast("double"), of_encoding(code, [bias for _, _, bias in ENCODINGS]) * F.length(body)
     chars = F.split(body, "")
-    times = lambda c: (n - F.length(F.replace(body, c, F.lit("")))).cast("double")
+    times = lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double")
     squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + times(c) * times(c))
-    chi2 = squares * k / n - n
-    text_like = phi((chi2 - (k - 1) - n * bias) / F.sqrt(2 * (k - 1) + 4 * n * bias))
+    even = phi((squares * k / n - n - (k - 1) - noise) / F.sqrt(2 * (k - 1) + 4 * noise))
     # runs above and below the middle of the alphabet: the number of changes is binomial for random letters
-    half = F.translate(body, letters, "0" * (k // 2) + "1" * (k - k // 2))
+    half = F.call_function("translate", body, letters, halves)
     changes = n - F.length(F.regexp_replace(half, "(?<=0)1|(?<=1)0", "")).cast("double")
     runs_z = F.abs(changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     # serial correlation of neighbouring letters' places in the alphabet
-    at = F.transform(chars, lambda c: F.position(c, F.lit(letters)) - 1)
-    centre = (k - 1) / 2
-    products = F.aggregate(F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at)), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda a, x: a + x)
+    at = F.transform(chars, lambda c: F.position(c, letters) - 1 - (k - 1) / 2)
+    products = F.aggregate(F.zip_with(F.slice(at, 1, F.size(chars) - 1), F.slice(at, 2, F.size(chars)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     serial_z = F.abs(products) / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    p = F.when((runs_z <= 3) & (serial_z <= 3), text_like).otherwise(1.0)
-    return F.least(F.lit(TOP_LEVEL), F.floor(-F.log(F.greatest(p, F.lit(math.exp(-TOP_LEVEL / LEVELS_PER_UNIT)))) * LEVELS_PER_UNIT).cast("int"))
+    # Fisher: minus twice the sum of the logarithms is chi-squared with six degrees of freedom
+    minus_log = lambda p, least: -F.log(F.greatest(p, F.lit(least)))
+    ps = F.array(minus_log(even, math.exp(-TOP_LEVEL / LEVELS_PER_UNIT)), *(minus_log(2 * phi(z / SPREAD) - 1, 0.01) for z in (runs_z, serial_z)))
+    x = F.aggregate(ps, F.lit(0.0), lambda a, p: a + p, lambda x: x - F.log(1 + x + x * x / 2))
+    return F.least(F.lit(TOP_LEVEL), F.greatest(F.lit(0), F.floor(x * LEVELS_PER_UNIT).cast("int")))
 
 
 def base_spans(text: Column) -> Column:
@@ -105,23 +108,25 @@ def base_spans(text: Column) -> Column:
 
 
 def tested_runs(text: Column) -> Column:
-    """``start``, ``end``, ``level`` and ``length_class`` of the runs that the battery can test."""
-    mixed = lambda m: encoding(F.rtrim(m, F.lit("="))).isNotNull()
-    length_class = lambda x: F.least(F.lit(CLASSES - 1), F.floor(F.log2(x["end"] - x["start"])).cast("int"))
-    return F.transform(matches(text, RANDOM, mixed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["match"]).alias("level"), length_class(x).alias("length_class")))
+    """``start``, ``end``, ``level`` and ``test_class`` (of encoding and length) of the runs that the battery can test."""
+    body = lambda x: F.rtrim(x["match"], F.lit("="))
+    coded = F.transform(matches(text, RANDOM, lambda m: F.lit(True)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), body(x).alias("body"), encoding(body(x)).alias("code")))
+    length_class = lambda x: F.least(F.lit(CLASSES - 1), F.floor(4 * F.log2(x["end"] - x["start"])).cast("int") - 16)
+    tested = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["body"], x["code"]).alias("level"), (x["code"] * CLASSES + length_class(x)).alias("test_class"))
+    return F.transform(F.filter(coded, lambda x: x["code"].isNotNull()), tested)
 
 
-def least_levels(docs: DataFrame, text_col: str, rate: float) -> dict[int, int]:
-    """For each length class the least level whose runs count, by the Benjamini-Hochberg rule over all documents.
+def least_levels(runs: DataFrame, rate: float) -> dict[int, int]:
+    """For each class the least level whose runs count, by the Benjamini-Hochberg rule over all of ``runs`` (``test_class``, ``level``).
 
-    What is gathered is a count for each class and level: CLASSES * TOP_LEVEL numbers at most.
+    What is gathered is a count for each class and level: as many numbers as there
+    are encodings, CLASSES and levels at most.
     """
-    runs = docs.select(F.explode(tested_runs(F.coalesce(F.col(text_col), F.lit("")))).alias("r")).select("r.length_class", "r.level")
-    counts = runs.groupBy("length_class", "level").agg(F.count("*").alias("n"))
-    down = Window.partitionBy("length_class").orderBy(F.col("level").desc())
-    ranked = counts.withColumns({"reached": F.sum("n").over(down), "tests": F.sum("n").over(Window.partitionBy("length_class"))})
+    counts = runs.groupBy("test_class", "level").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("test_class").orderBy(F.col("level").desc())
+    ranked = counts.withColumns({"reached": F.sum("n").over(down), "tests": F.sum("n").over(Window.partitionBy("test_class"))})
     passing = ranked.where(F.exp(-F.col("level") / LEVELS_PER_UNIT) <= rate * F.col("reached") / F.col("tests"))
-    return {r["length_class"]: r["level"] for r in passing.groupBy("length_class").agg(F.min("level").alias("level")).collect()}
+    return {r["test_class"]: r["level"] for r in passing.groupBy("test_class").agg(F.min("level").alias("level")).collect()}
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.01) -> DataFrame:
@@ -134,17 +139,16 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rate: float = 0.01) ->
     ids; repeated rows are treated alike; an empty table gives an empty result. The
     texts are read twice, once for the levels; nothing but their counts is shuffled.
     """
-    least = least_levels(docs, text_col, rate)
+    runs = tested_runs(F.coalesce(F.col(text_col), F.lit("")))
+    least = least_levels(docs.select(F.explode(runs).alias("r")).select("r.test_class", "r.level"), rate)
     found = docs.withColumn("base", base_spans(F.coalesce(F.col(text_col), F.lit(""))))
-    if least:
-        floor = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
-        runs = F.filter(tested_runs(F.coalesce(F.col(text_col), F.lit(""))), lambda r: r["level"] >= floor[r["length_class"]])
-        alone = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-        random = F.transform(alone, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("rank"), r["end"].alias("end")))
-        found = found.withColumn("runs", runs).withColumn("spans", F.when(F.size("runs") > 0, F.array_sort(F.concat("base", random))).otherwise(F.col("base"))).drop("runs")
-    else:
-        found = found.withColumn("spans", F.col("base"))
-    return found
+    if not least:
+        return found.withColumn("spans", F.col("base"))
+    floor = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
+    found = found.withColumn("runs", F.filter(runs, lambda r: r["level"] >= floor[r["test_class"]]))
+    alone = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    random = F.transform(alone, lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("rank"), r["end"].alias("end")))
+    return found.withColumn("spans", F.when(F.size("runs") > 0, F.array_sort(F.concat("base", random))).otherwise(F.col("base"))).drop("runs")
 
 
 def span_text(spans: Column) -> Column:
