@@ -38,7 +38,7 @@ def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     spoken = F.aggregate("mask", F.lit(0), lambda a, m: a + m["end"] - m["start"]).cast("long")
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return out.select("conv_id", "speaker", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.size("mask").cast("long").alias("n_spoken"), spoken.alias("spoken_chars"), spans.alias("mask"), "text")
+    return out.select("conv_id", "speaker", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), F.col("offset").cast("long").alias("offset"), F.size("mask").cast("long").alias("n_spoken"), spoken.alias("spoken_chars"), spans.alias("mask"), "text")
 
 
 def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, queries
@@ -42,3 +44,31 @@ def test_edges_and_large_conversations(spark):
     assert [r.part for r in long] == list(range(6)) and sum(r.n_turns for r in long) == 1500 and sum(len(r["mask"]) for r in long) == 750
     assert sum(r.n_turns for r in by[10, "u"]) == 3000 and max(r.n_turns for r in by[10, "u"]) < 2000
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_long_and_crowded_conversations(spark):
+    """Parts in order make up the whole rendering, from the offsets that they give, however the rows are dealt out."""
+    rng = random.Random(4)
+    rows = [("long", n, rng.choice(["ann", "bob", "system"]), f"turn {n}") for n in range(700)]
+    rows += [("same", 5, rng.choice(["ann", "bob", "cy"]), f"x{n:05d}") for n in range(3000)] + [("copies", 1, "ann", "again")] * 2500 + [("copies", 1, "bob", "once"), (None, None, "ann", "lost")]
+    rng.shuffle(rows)
+    whole = {}
+    for conv in ("long", "same", "copies", None):
+        own = sorted(((t if t is not None else -1, s, x) for c, t, s, x in rows if c == conv))
+        for me in {s for _, s, _ in own} - {"system"}:
+            name = lambda s: s if s == "system" else "assistant" if s == me else f"user name={s}"
+            whole[conv, me] = "".join(f"<|im_start|>{name(s)}\n{x}<|im_end|>\n" for _, s, x in own), sum(s == me for _, s, _ in own)
+    cuts = []
+    for n in (1, 5):
+        got = {}
+        for r in chat.rotate(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(n)).collect():
+            got.setdefault((r.conv_id, r.speaker), []).append(r)
+        assert got.keys() == whole.keys()
+        for key, own in got.items():
+            own.sort(key=lambda r: r.part)
+            text, spoken = whole[key]
+            assert [r.part for r in own] == list(range(len(own))) and "".join(r.text for r in own) == text
+            assert all(text[r.offset : r.offset + len(r.text)] == r.text and r.n_turns <= chat.MOST_ROWS for r in own)
+            assert sum(len(r.mask) for r in own) == spoken and all(r.text[m.start - 10 : m.start] == "assistant\n" for r in own for m in r.mask)
+        cuts.append(sorted((repr(k), [r.offset for r in own]) for k, own in got.items()))
+    assert cuts[0] == cuts[1]
