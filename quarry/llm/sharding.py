@@ -2,7 +2,8 @@
 
 A document's key is a hash of its text with a few salt bits below it, so that equal
 texts are neighbours, and yet a group of copies of any size can be cut. Splitters
-are quantiles of a sample of keys, drawn with a chance in proportion to size.
+are quantiles of a sample of keys, drawn with a chance in proportion to size (in bytes,
+and as a row).
 Counting what fell into each range shows the overfull ones, which are subdivided;
 exact sums over the final ranges then say where each shard begins, and only a range
 with a boundary in it is divided between two shards.
@@ -26,13 +27,16 @@ RANGES_PER_SHARD = 24
 RANGE_ROWS = 250_000
 
 
-def splitters(keyed: DataFrame, ranges: int, total: int, seed: int) -> np.ndarray:
-    """Quantile boundaries of about ``ranges * SAMPLE`` keys, drawn in proportion to size.
+def splitters(keyed: DataFrame, ranges: int, rows: int, total: int, seed: int) -> np.ndarray:
+    """Quantile boundaries of about ``ranges * SAMPLE`` keys, drawn in proportion to a document's share of bytes and of rows.
 
-    The sample that reaches the driver grows with the number of ranges only.
+    Half of the weight is a row's whatever its size, so that many small documents,
+    copies among them, get as many splitters as they have rows. The sample that
+    reaches the driver grows with the number of ranges only.
     """
-    chance = F.least(F.lit(1.0), F.col("size") * F.lit(ranges * SAMPLE / max(total, 1)))
-    drawn = keyed.where(F.rand(seed) < chance).select("key", (F.col("size") / chance).alias("weight")).toPandas()
+    share = F.col("size") * F.lit(0.5 / max(total, 1)) + F.lit(0.5 / max(rows, 1))
+    chance = F.least(F.lit(1.0), share * F.lit(float(ranges * SAMPLE)))
+    drawn = keyed.where(F.rand(seed) < chance).select("key", (share / chance).alias("weight")).toPandas()
     drawn = drawn.sort_values("key", kind="stable")
     reached = drawn["weight"].cumsum().to_numpy()
     if not len(reached):
@@ -90,7 +94,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     )
     all_rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(shards * RANGES_PER_SHARD, -(-all_rows // RANGE_ROWS))
-    cuts = splitters(keyed, ranges, total, seed)
+    cuts = splitters(keyed, ranges, all_rows, total, seed)
     rows, size = totals(with_range(keyed, cuts), len(cuts) + 1)
     finer = subdivided(cuts, rows, size, max(1, min(RANGE_ROWS, 2 * all_rows // ranges + 1)), max(1.0, 2 * total / ranges))
     ranged = with_range(keyed, finer)

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from quarry.llm import queries, sharding
 
 
@@ -37,3 +39,16 @@ def test_edge_rows(awkward, clashing, nothing):
         assert len(rows) == 14 and sorted(r["size"] for r in rows)[:2] == [8, 8]
         check(rows, {}, 24)
     assert sharding.shard_by_bytes(nothing, 24).count() == 0
+
+
+def test_many_small_documents_get_splitters(spark):
+    """A third of all rows are empty texts beside large ones: no range holds many times its share of the rows."""
+    rows = 30_000
+    small = F.col("id") % 3 == 0
+    size = F.when(small, 8).otherwise(5000).cast("long")
+    key = F.when(small, F.xxhash64("id").bitwiseAND(F.lit((1 << sharding.SALT_BITS) - 1))).otherwise(F.xxhash64("id"))
+    keyed = spark.range(rows).select(size.alias("size"), key.alias("key")).cache()
+    total = keyed.agg(F.sum("size")).first()[0]
+    cuts = sharding.splitters(keyed, 200, rows, total, 7)
+    counts, sizes = sharding.totals(sharding.with_range(keyed, cuts), len(cuts) + 1)
+    assert counts.sum() == rows and counts.max() <= 6 * rows / 200 and sizes.max() <= 6 * total / 200
