@@ -309,8 +309,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def similar_components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``id``, ``key``, ``fp`` of every row, and for every ``fp`` the ``one`` (``id``, ``key``) of its component."""
-    prints = written(prefixes(docs, id_col, text_col, words, similarity, common_shingles(docs, text_col, words)))
     with scope(docs.sparkSession):
+        prints = written(prefixes(docs, id_col, text_col, words, similarity, common_shingles(docs, text_col, words)))
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
         nodes = written(prints.groupBy("fp").agg(first.alias("one"), F.first("sim").alias("sim"), F.first("n").alias("n")))
         near = covered_pairs(nodes, COVERED)
@@ -323,7 +323,7 @@ def similar_components(docs: DataFrame, id_col: str, text_col: str, words: int,
         # written one by one: then both sides of each join are dealt out by it alone, and a large component or a text with many copies can be split
         roots = written(of_node.groupBy("label").agg(F.min("one").alias("one")))
         component = written(of_node.select("fp", "label").join(roots, "label").select("fp", F.struct("one.id", "one.key").alias("one")), outer=True)
-    return prints.select("id", "key", "fp"), component
+        return written(prints.select("id", "key", "fp"), outer=True), component
 
 
 def covered_pairs(nodes: DataFrame, radius: int) -> DataFrame:
