@@ -6,8 +6,9 @@ first fills windows of its own; what is left goes to the level where the sum of
 squared counts of partly filled windows becomes least, or into a new window. At the
 end of the partition the windows still open are joined through the same level array:
 the fullest one takes the fullest others that it has room for. If at most WASTE of it
-stays free it is closed; only the few windows that nothing fits are cut, and one
-window of a partition at most is padded by more.
+stays free it is closed. The others are taken apart, and their pieces joined likewise;
+only the few windows that nothing fits then are cut, and one window of a partition at
+most is padded by more.
 """
 
 from __future__ import annotations
@@ -116,13 +117,25 @@ class Levels:
         return self.windows[level].pop()
 
     def closed(self, waste: int) -> Iterator[tuple[list, bool]]:
-        """The windows still open, joined as far as they fit whole, and whether one is full but for ``waste``."""
-        while (window := self.take(self.size)) is not None:
-            free = self.size - sum(len(p[2]) // 4 for p in window)
-            while free > waste and (more := self.take(free)) is not None:
-                free -= sum(len(p[2]) // 4 for p in more)
-                window = window + more
-            yield window, free <= waste
+        """The windows still open, joined as far as they fit whole, and whether one is full but for ``waste``.
+
+        Those that nothing fits are taken apart, and their pieces are joined likewise.
+        """
+        for last in (False, True):
+            apart = []
+            while (window := self.take(self.size)) is not None:
+                free = self.size - sum(len(p[2]) // 4 for p in window)
+                while free > waste and (more := self.take(free)) is not None:
+                    free -= sum(len(p[2]) // 4 for p in more)
+                    window = window + more
+                if free <= waste or last:
+                    yield window, free <= waste
+                else:
+                    apart += window
+            for piece in apart:
+                level = len(piece[2]) // 4
+                self.windows.setdefault(level, []).append([piece])
+                self.count[level] += 1
 
 
 def pack_ids(ids: Iterator[tuple[object, bytes]], size: int, first: int) -> Iterator[tuple]:
