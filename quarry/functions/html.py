@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import contact_phone, instagram_user, present
+from .text import contact_phone, instagram_user, normalize_phone, present
 
 #: Hosts of link collections, words of contact pages, marks of booking systems (in the order in which they are tried) and their names.
 HUB_HOSTS = ("linktr.ee", "beacons.ai", "bio.site", "lnk.bio", "campsite.bio", "solo.to", "linkbio.co", "msha.ke", "taplink.cc", "linktree")
@@ -31,6 +31,9 @@ HREF = "(?i)href\\s*=\\s*[\"']([^\"']+)[\"']"
 TEL = "(?i)href\\s*=\\s*[\"']\\s*tel:([^\"']+)[\"']"
 CHAT_LINK = "(?i)(?:wa\\.me/|phone=)(\\+?[0-9][0-9\\s.()\\-]{7,20})"
 NUMBER = "(?:\\+?55\\s?)?\\(?[1-9]{2}\\)?[\\s.-]?[0-9]{4,5}[\\s.-]?[0-9]{4}"
+#: Chat links and numbers as the chat-first order reads them.
+CHAT_ADDRESS = "(?i)(?:https?://)?(?:www\\.)?(?:wa\\.me/|(?:api|web)\\.whatsapp\\.com/send\\?[^\"'\\s>]*?phone=)([^&\"'\\s<>]+)"
+ANY_NUMBER = "(?i)(?:tel:|\\+?[1-9]\\d{1,2}[\\s.-]?)?\\(?\\d{2,4}\\)?[\\s.-]?\\d{3,4}[\\s.-]?\\d{3,4}"
 LD_JSON = "(?is)<script[^>]*type\\s*=\\s*[\"']application/ld\\+json[\"'][^>]*>(.*?)</script>"
 MOST_TEXT = 20_000
 
@@ -96,6 +99,17 @@ def first_phone(text: Column, country_code: Column, source: str) -> Column:
     return F.get(F.concat(found(TEL, 1, "TEL"), found(CHAT_LINK, 1, "WHATSAPP_LINK"), found(NUMBER, 0, "TEXT")), F.lit(0))
 
 
+def chat_first_phone(html: Column) -> Column:
+    """The first number of a page in the other order: chat links, then tel: links, then numbers in the text, each decoded and normalised."""
+
+    def number(raw: Column) -> Column:
+        n = normalize_phone(F.coalesce(F.try_url_decode(raw), raw))
+        return F.when(F.length(n) >= 8, n)
+
+    found = F.concat(_all(html, CHAT_ADDRESS), _all(html, TEL), _all(html, ANY_NUMBER, 0))
+    return F.get(F.filter(F.transform(found, number), lambda n: n.isNotNull()), F.lit(0))
+
+
 def tag_phone(tags: Column, country_code: Column) -> Column:
     """``number`` and ``source`` of the first tag that holds a phone."""
     options = [F.when(n.isNotNull(), F.struct(n.alias("number"), F.lit(f"DIRECT_OSM:{key}").alias("source"))) for key in PHONE_TAGS for n in [contact_phone(present(F.try_element_at(tags, F.lit(key))), country_code)]]

@@ -1,7 +1,7 @@
 import pytest
 from oracle import connection, same
 
-from quarry.plans import crm, outreach  # noqa: F401, outreach adds its queries to those of crm
+from quarry.plans import catalog, crm, outreach  # noqa: F401, catalog and outreach add their queries to those of crm
 
 
 @pytest.fixture(scope="module")
