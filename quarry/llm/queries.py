@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, packing, quality, secrets, sharding, simhash, token_counts, toxicity
+from . import chat, debruijn, decontamination, licenses, packing, quality, secrets, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -63,7 +63,27 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = debruijn.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nnpu_toxicity, op2_randomness_secrets, op3_token_counts, op4_license_index, op5_perspective_rotation, op6_boosted_quality, op7_spaced_seeds, op8_sampled_splitters, op9_simhash_covering, op10_sum_of_squares)
+    f.__name__: f for f in (op1_nnpu_toxicity, op2_randomness_secrets, op3_token_counts, op4_license_index, op5_perspective_rotation, op6_boosted_quality, op7_spaced_seeds, op8_sampled_splitters, op9_simhash_covering, op10_sum_of_squares, op13_debruijn_spans)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+OP13_SQL = r"""
+WITH words AS MATERIALIZED (
+    SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS MATERIALIZED (
+    SELECT row, doc_id, s, sha256(array_to_string(w[s : s + 49], ' ')) AS k FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words)
+), firsts AS (
+    SELECT k, min(doc_id) AS first FROM windows GROUP BY k
+), gone AS (
+    SELECT row, list(DISTINCT p) AS ps FROM (SELECT row, unnest(range(s, s + 50)) AS p FROM windows JOIN firsts USING (k) WHERE first < doc_id) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+    sha256(array_to_string([w[i] for i in range(1, len(w) + 1) if ps IS NULL OR NOT list_contains(ps, i)], ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (row)
+"""
+ORACLE_SQL: dict[str, str] = {"op13_debruijn_spans": OP13_SQL}
