@@ -58,6 +58,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path; it goes with the session, or before by ``removed``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, outer: bool = False) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder, its lineage cut.
 
@@ -65,15 +81,11 @@ def written(df: DataFrame, outer: bool = False) -> DataFrame:
     estimates don't multiply. The table goes when the ``scope`` around it ends (with
     ``outer``, the scope around that one), at the latest with the session.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    table, path = written_at(df)
     scopes = _scopes.get()[: -1 if outer else None]
     if scopes:
         scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return table
 
 
 @contextmanager
@@ -86,8 +98,7 @@ def scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.reset(token)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            removed(spark, path)
 
 
 def runs_of_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
