@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, runs_of_bytes, scope, small_batches, written
+from .common import KeyFilter, removed, runs_of_bytes, scope, small_batches, written, written_at
 
 #: Words of a window, and of its anchor.
 WINDOW, ANCHOR = 50, 13
@@ -56,10 +56,20 @@ class Rolling:
             self.sums.append(sums)
             self.back.append(np.cumprod(down))
 
-    def of(self, starts: np.ndarray, ends: np.ndarray, lane: int, salt: int = 0) -> np.ndarray:
+    def of(self, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
         """Hashes of the words from each start up to its end; equal runs at different places have equal ones."""
         found = (self.sums[lane][ends] - self.sums[lane][starts]) * self.back[lane][starts]
-        return mixed(found + (ends - starts).astype(np.uint64) * np.uint64(ODD[0]) + np.uint64(salt))
+        return mixed(found + (ends - starts).astype(np.uint64) * np.uint64(ODD[0]))
+
+
+def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each ``width`` hashes in a row, the place of the least (of its upper half, the first of equal ones)."""
+    y = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    out, reach = len(hashes) - width + 1, 1
+    while 2 * reach <= width:
+        y = np.minimum(y[:-reach], y[reach:])
+        reach *= 2
+    return (np.minimum(y[:out], y[width - reach : width - reach + out]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def edges_of(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ...] | None:
@@ -69,25 +79,14 @@ def edges_of(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray,
     rolling = Rolling(words)
     at = np.arange(len(words) - anchor + 1)
     kmers = rolling.of(at, at + anchor, 0)
-    least = np.lib.stride_tricks.sliding_window_view(kmers, window - anchor + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
+    least = least_places(kmers, window - anchor + 1)
     start = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
     n = np.diff(np.concatenate([start, [len(least)]]))
-    return start, n, kmers[least[start]], *(rolling.of(start, start + n + window - 1, lane, salt=1) for lane in (0, 1))
-
-
-SCHEMA = "id {0}, key long, start int, n int, anchor long, a long, b long, next_a long, next_b long"
-
-
-def as_batch(ids, keys, owner: np.ndarray, start, n, anchor, a, b, follows: np.ndarray) -> pa.RecordBatch:
-    """Edges as a batch of SCHEMA; ``owner`` is each edge's row of ``ids`` and ``keys``, ``follows`` says which have the next one behind them."""
-    signed = lambda x: pa.array(x.view(np.int64))
-    after = lambda x: pa.array(np.append(x[1:], x[:1]).view(np.int64), mask=~follows)
-    of = pa.array(owner)
-    return pa.RecordBatch.from_arrays([ids.take(of), keys.take(of), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), signed(anchor), signed(a), signed(b), after(a), after(b)], ["id", "key", "start", "n", "anchor", "a", "b", "next_a", "next_b"])
+    return start, n, kmers[least[start]], *(rolling.of(start, start + n + window - 1, lane) for lane in (0, 1))
 
 
 def edges(docs: DataFrame, kind: str, window: int, anchor: int) -> DataFrame:
-    """The edges (see ``edges_of``) of all rows of ``docs`` (``id``, ``key``, ``t``), with the hashes of the next edge of the text."""
+    """``id``, ``key`` and the edges (see ``edges_of``) of all rows of ``docs`` (``id``, ``key``, ``t``), with ``next_a`` of the text's next edge."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,51 +95,56 @@ def edges(docs: DataFrame, kind: str, window: int, anchor: int) -> DataFrame:
                 found = [(row, x) for row, t in enumerate(part.column("t").to_pylist()) if (x := edges_of((t or b"").split(), window, anchor))]
                 if found:
                     owner = np.repeat([row for row, _ in found], [len(x[0]) for _, x in found])
-                    columns = [np.concatenate(c) for c in zip(*(x for _, x in found))]
-                    yield as_batch(part.column("id"), part.column("key"), owner, *columns, np.append(owner[1:] == owner[:-1], False))
+                    start, n, kmer, a, b = (np.concatenate(c) for c in zip(*(x for _, x in found)))
+                    last = np.append(owner[1:] != owner[:-1], True)
+                    of, signed = pa.array(owner), lambda x, mask=None: pa.array(x.view(np.int64), mask=mask)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(of), part.column("key").take(of), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), signed(kmer), signed(a), signed(b), signed(np.roll(a, -1), last)], ["id", "key", "start", "n", "anchor", "a", "b", "next_a"])
 
-    return docs.mapInArrow(run, SCHEMA.format(kind))
+    return docs.mapInArrow(run, f"id {kind}, key long, start int, n int, anchor long, a long, b long, next_a long")
 
 
 def single_windows(docs: DataFrame, kind: str, window: int) -> DataFrame:
-    """Like ``edges``, each window an edge of its own: those that start in ``ranges`` (``start``, ``n``) of each row of ``docs``."""
+    """``id``, ``key``, ``start``, ``n`` (1), ``a``, ``b`` of the windows that start in ``ranges`` (``start``, ``n``) of each row of ``docs``."""
     small_batches(docs.sparkSession)
 
+    def windows(words: list[bytes], ranges: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+        at = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in ranges]))
+        for own in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):  # only words of these windows are hashed
+            rolling, start = Rolling(words[own[0] : own[-1] + window]), own - own[0]
+            yield own, *(rolling.of(start, start + window, lane) for lane in (0, 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs_of_bytes(batch, "t"):
-                for row, (t, ranges) in enumerate(zip(part.column("t").to_pylist(), part.column("ranges").to_pylist())):
-                    rolling = Rolling(t.split())
-                    start = np.unique(np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in ranges]))
-                    a, b = (rolling.of(start, start + window, lane) for lane in (0, 1))
-                    yield as_batch(part.column("id"), part.column("key"), np.full(len(start), row), start, np.ones(len(start)), np.zeros(len(start), np.uint64), a, b, np.append(np.diff(start) == 1, False))
+                found = [(row, x) for row, (t, ranges) in enumerate(zip(part.column("t").to_pylist(), part.column("ranges").to_pylist())) for x in windows(t.split(), ranges)]
+                if found:
+                    of = pa.array(np.repeat([row for row, _ in found], [len(x[0]) for _, x in found]))
+                    start, a, b = (np.concatenate(c) for c in zip(*(x for _, x in found)))
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(of), part.column("key").take(of), pa.array(start.astype(np.int32)), pa.array(np.ones(len(start), np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["id", "key", "start", "n", "a", "b"])
 
-    return docs.mapInArrow(run, SCHEMA.format(kind))
+    return docs.mapInArrow(run, f"id {kind}, key long, start int, n int, a long, b long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """Edges that two documents have: ``a``, ``b``, ``n`` and the ``source`` (``id``, ``start``), the first place of the least id."""
-    return found.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last"), F.first("n").alias("n")).where(F.col("source.id") < F.col("last")).drop("last")
+    """Edges that two documents have: ``a``, ``b`` and the ``source`` (``id``, ``start``), the first place of the least id."""
+    return found.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("last")).where(F.col("source.id") < F.col("last")).drop("last")
 
 
-def open_ranges(found: DataFrame, known: DataFrame) -> DataFrame:
-    """``id``, ``key``, ``ranges`` of the edges that don't say all: their anchor has others in another document, and none earlier equals them."""
+def mixed_anchors(found: DataFrame) -> DataFrame:
+    """``anchor`` of those whose edges in two documents are not all equal."""
     differ = lambda c: F.min(c) < F.max(c)
-    mixed_anchors = found.groupBy("anchor").agg((differ("id") & (differ("a") | differ("b"))).alias("mixed")).where("mixed").select("anchor")
-    rest = found.join(mixed_anchors, "anchor", "left_semi").join(known.select("a", "b", F.col("source.id").alias("first")), ["a", "b"], "left")
-    return rest.where(F.col("first").isNull() | (F.col("first") >= F.col("id"))).groupBy("id", "key").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    return found.groupBy("anchor").agg((differ("id") & (differ("a") | differ("b"))).alias("mixed")).where("mixed")
 
 
-def paths(found: DataFrame, known: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``source`` of each repeated edge with its path: ``head_a``, ``head_b``, and ``offset``, windows from the path's beginning.
+def paths(met: DataFrame, known: DataFrame) -> DataFrame:
+    """``a``, ``b`` of each repeated edge with its path: ``head_a``, ``head_b``, and ``offset``, windows from the path's beginning.
 
     An edge goes on to the next if no document with a repeated edge behind it goes
     anywhere else, none comes from anywhere else, and both lie side by side in one
     source. Such paths have no cycles. Each round doubles the reach of the pointers.
     """
-    both = found.where("next_a is not null").select("a", "b", "next_a", "next_b").distinct()
-    both = both.join(known.select("a", "b", F.col("source").alias("from"), "n"), ["a", "b"]).join(known.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("source").alias("to")), ["next_a", "next_b"])
-    both = written(both)
+    both = met.where("next_a is not null").select("a", "b", "next_a", "n", F.col("source").alias("from")).distinct()
+    both = written(both.join(known.select(F.col("a").alias("next_a"), F.col("b").alias("next_b"), F.col("source").alias("to")), "next_a"))
     single = lambda c: F.min(c) == F.max(c)
     ahead = both.groupBy("a", "b").agg((single("next_a") & single("next_b")).alias("one")).where("one").drop("one")
     behind = both.groupBy("next_a", "next_b").agg((single("a") & single("b")).alias("one")).where("one").drop("one")
@@ -151,34 +155,38 @@ def paths(found: DataFrame, known: DataFrame) -> DataFrame:
         further = at.select(F.col("a").alias("head_a"), F.col("b").alias("head_b"), F.col("head_a").alias("far_a"), F.col("head_b").alias("far_b"), F.col("offset").alias("more"))
         step = at.join(further, ["head_a", "head_b"], "left")
         at = written(step.select("a", "b", F.coalesce("far_a", "head_a").alias("head_a"), F.coalesce("far_b", "head_b").alias("head_b"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("far_a").isNotNull().alias("moved")))
-    out = known.join(at.drop("moved"), ["a", "b"], "left")
-    return out.select("a", "b", "source", F.coalesce("head_a", "a").alias("head_a"), F.coalesce("head_b", "b").alias("head_b"), F.coalesce("offset", F.lit(0)).alias("offset"))
+    return at.drop("moved")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``id``, ``key`` (a hash of the text), ``start``, ``n``, ``source``: runs of ``n`` windows that start in a document of a smaller id.
 
-    ``source`` (``id``, ``start``) is where the first of them stands there; null for
-    a run that the source doesn't have as a whole. Spans of one document may overlap.
+    ``source`` (``id``, ``start``) is where the first of them stands there. Spans of
+    one document may overlap or lie side by side.
     """
     kind = dict(docs.dtypes)[id_col]
     with scope(docs.sparkSession):
         rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("t"))
-        runs = written(edges(rows, kind, window, anchor))
-        known = written(repeated(runs))
-        ranges = written(open_ranges(runs, known))
+        runs, path = written_at(edges(rows, kind, window, anchor))
+        known, mixed = written(repeated(runs)), written(mixed_anchors(runs))
+        # what stays: edges that are repeated, and those of which single windows may be
+        met = written(runs.join(known, ["a", "b"], "left").join(mixed, "anchor", "left").drop("anchor").where("source is not null or mixed"))
+        removed(docs.sparkSession, path)
+        earlier = F.coalesce(F.col("source.id") < F.col("id"), F.lit(False))
+        ranges = written(met.where(F.col("mixed") & ~earlier).groupBy("id", "key").agg(F.collect_set(F.struct("start", "n")).alias("ranges")))
         asked = rows.where(has(KeyFilter.of(ranges, "key"), "key"))
         singles = written(single_windows(asked.join(ranges, ["id", "key"]).select("id", "key", "t", "ranges"), kind, window))
-        # a run's hashes have a salt of their own: no edge is in both tables
-        known = written(known.unionByName(repeated(singles)))
-        found = runs.unionByName(singles)
-        path = written(paths(found, known))
-        units = found.join(path, ["a", "b"]).where(F.col("source.id") < F.col("id"))
-        lines = units.groupBy("id", "key", "head_a", "head_b", (F.col("start") - F.col("offset")).alias("shift")).agg(F.collect_set(F.struct("start", "n", "source")).alias("parts"))
+        alone = singles.join(written(repeated(singles)), ["a", "b"]).where(earlier).select("id", "key", "start", "n", "source")
+
+        met = met.where("source is not null").drop("mixed")
+        units = met.where(earlier).join(paths(met, known), ["a", "b"], "left")
+        place = F.col("start") - F.coalesce("offset", F.lit(0))
+        lines = units.groupBy("id", "key", F.coalesce("head_a", "a").alias("head_a"), F.coalesce("head_b", "b").alias("head_b"), place.alias("place")).agg(F.collect_set(F.struct("start", "n", "source")).alias("parts"))
         first, extent = F.array_min("parts"), F.array_max(F.transform("parts", lambda x: x["start"] + x["n"]))
         whole = F.aggregate("parts", F.lit(0), lambda a, x: a + x["n"]) == extent - first["start"]
         one = F.struct(first["start"].alias("start"), (extent - first["start"]).alias("n"), first["source"].alias("source"))
-        return written(lines.select("id", "key", F.explode(F.when(whole, F.array(one)).otherwise(F.col("parts"))).alias("s")).select("id", "key", "s.start", "s.n", "s.source"), outer=True)
+        found = lines.select("id", "key", F.explode(F.when(whole, F.array(one)).otherwise(F.col("parts"))).alias("s")).select("id", "key", "s.start", "s.n", "s.source")
+        return written(found.unionByName(alone), outer=True)
 
 
 def has(known: KeyFilter, column: str) -> Column:
