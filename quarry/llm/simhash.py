@@ -26,8 +26,8 @@ from .components import connected_components
 BITS = 64
 #: Buckets up to this many fingerprints are compared pair by pair, larger ones through shared neighbours.
 SMALL_BUCKET = 16
-#: Texts in which common shingles are counted, about, how often a shingle is met there to be called common, and most of them.
-SAMPLE, OFTEN, COMMON = 5_000, 2, 200_000
+#: Counters (least and most of them, as powers of two) in which all shingles of all texts are counted, and those that travel together.
+COUNTERS, MOST_COUNTERS, CHUNK = 20, 24, 1 << 14
 #: Radius of the covering tables over fingerprints of sets.
 COVERED = 3
 #: Members that a large bucket chooses in a round, and how many of those that its buckets chose a node is held against.
@@ -93,32 +93,57 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.array(hashes(text, words) if text else [], np.uint64))
 
 
-def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to COMMON shingles that most texts of a sample have, in order, and how many. They only set an order: no result hangs on them."""
-    every = max(1, docs.count() // SAMPLE)
-    texts = docs.select(F.xxhash64(text_col).alias("key"), text_col).where(F.pmod("key", F.lit(every)) == 0).groupBy("key").agg(F.first(text_col).alias("text"))
-    met = shingle_sets(texts, "text", words, "key").select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= OFTEN)
-    found = met.orderBy(F.desc("count"), "s").limit(COMMON).toPandas()
-    keys, counts = found["s"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """How many texts have the shingles of each counter, of all texts. A shingle's counter is named by the first bits of its hash.
+
+    Shingles share counters; a counter is high if one of its shingles is common, as
+    the others add much the same everywhere. The counts only set an order: no result
+    hangs on them. A task sends its counters, of a fixed number, in chunks, which are
+    added up before they reach the driver. There are about four counters a text,
+    between the two bounds.
+    """
+    small_batches(docs.sparkSession)
+    bits = min(MOST_COUNTERS, max(COUNTERS, docs.count().bit_length() + 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for part in runs_of_bytes(batch, "t"):
+                for text in part.column("t").to_pylist():
+                    np.add.at(counts, (shingle_set(text, words) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        some = [n for n in range(0, len(counts), CHUNK) if counts[n : n + CHUNK].any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(some, np.int64)), pa.array([counts[n : n + CHUNK].tobytes() for n in some], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                sums[n] = sums.get(n, 0) + np.frombuffer(counts, np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    schema = "chunk long, counts binary"
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema)
+    out = np.zeros(1 << bits, np.uint32)
+    for r in found.toLocalIterator():
+        out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, np.uint32)
+    return out
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, counts: np.ndarray) -> DataFrame:
     """``id``, ``key`` (a hash of the text), ``fp`` (a hash of the set of shingles), ``sim``, its fingerprint, ``n``, its size, and ``prefix`` of every document.
 
-    With all sets in one order, uncommon shingles first, two sets of the similarity
+    With all sets in one order, those of low ``counts`` first, two sets of the similarity
     share one of the first ``n - ceil(similarity * n) + 1`` of each: the prefix. A
     task gives the prefix of equal sets once; later rows of them have an empty one.
     """
     from xxhash import xxh64_intdigest
 
     small_batches(docs.sparkSession)
-    keys, counts = common
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
 
     def prefix(found: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
-        met = np.where(keys[place] == found, counts[place], 0) if len(keys) else np.zeros(len(found), np.int64)
+        met = counts[(found >> shift).astype(np.int64)]
         first = len(found) - math.ceil(round(similarity * len(found), 9)) + 1 if len(found) else 0
         return found[np.lexsort((found, met))[:first]].view(np.int64)
 
@@ -310,7 +335,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def similar_components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``id``, ``key``, ``fp`` of every row, and for every ``fp`` the ``one`` (``id``, ``key``) of its component."""
     with scope(docs.sparkSession):
-        prints = written(prefixes(docs, id_col, text_col, words, similarity, common_shingles(docs, text_col, words)))
+        prints = written(prefixes(docs, id_col, text_col, words, similarity, shingle_counts(docs, text_col, words)))
         first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
         nodes = written(prints.groupBy("fp").agg(first.alias("one"), F.first("sim").alias("sim"), F.first("n").alias("n")))
         near = covered_pairs(nodes, COVERED)
@@ -412,27 +437,35 @@ def similar_links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, similari
     found = confirmed(pairs)
     numbers = bucket_numbers(shared)
     large = shared.where(F.col("size") > SMALL_BUCKET).join(numbers.select("node", "large"), "node").select("s", F.struct("node", "n").alias("own"), "large")
+    first = connected_components(found)
+    rows = large.join(first.withColumnRenamed("node", "of"), F.col("own.node") == F.col("of"), "left").select("s", "own", "large", F.coalesce("label", "own.node").alias("label"))
     turn, before = 0, None
     while True:
-        labels = connected_components(found)
-        rows = written(large.join(labels.withColumnRenamed("node", "of"), F.col("own.node") == F.col("of"), "left").select("s", "own", "large", F.coalesce("label", "own.node").alias("label")))
+        # a bucket's rows go once they are all of one component
+        rows = written(rows)
         parts = rows.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside")).where(F.col("n") * F.col("n") > F.col("inside"))
         parts = written(parts)
         members, apart = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("inside")), F.lit(0))).first()
         if not apart:
             return found
-        rows = rows.join(parts.select("s", "n"), "s")
+        live = rows.join(parts.select("s", "n"), "s")
         if apart <= 4 * members or before and apart > 0.8 * before:
-            met = blockwise(rows, rule).groupBy("a", "b").agg(F.count("*").alias("common"))
+            met = blockwise(live, rule).groupBy("a", "b").agg(F.count("*").alias("common"))
             return found.unionByName(confirmed(enough(met, numbers, "small", similarity)))
         before = apart
         orders = [F.struct(-F.col("large"), "own.node"), *(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "own.node"), "own.node") for k in range(1, HUBS))]
-        chosen = rows.groupBy("s").agg(*(F.min_by(F.struct("own", "label"), o).alias(f"x{k}") for k, o in enumerate(orders))).select("s", F.array_distinct(F.array(*(f"x{k}" for k in range(HUBS)))).alias("hubs"))
-        met = rows.join(chosen, "s").select("own", "label", F.explode("hubs").alias("x")).where((F.col("label") != F.col("x.label")) & rule(F.col("x.own"), F.col("own")))
+        chosen = live.groupBy("s").agg(*(F.min_by(F.struct("own", "label"), o).alias(f"x{k}") for k, o in enumerate(orders))).select("s", F.array_distinct(F.array(*(f"x{k}" for k in range(HUBS)))).alias("hubs"))
+        met = live.join(chosen, "s").select("own", "label", F.explode("hubs").alias("x")).where((F.col("label") != F.col("x.label")) & rule(F.col("x.own"), F.col("own")))
         met = met.groupBy(F.col("own.node").alias("a"), F.col("x.own.node").alias("b")).agg(F.count("*").alias("times"))
         best = F.slice(F.sort_array(F.collect_list(F.struct("times", "b")), asc=False), 1, TRIES)  # of a node's hubs, HUBS for each of its shingles at most
         stars = met.groupBy("a").agg(best.alias("best")).select("a", F.explode("best").alias("x")).select("a", F.col("x.b").alias("b"))
-        found, turn = written(found.unionByName(confirmed(stars))), turn + 1
+        fresh = confirmed(stars)
+        # only components that the round joins are looked at: its links between their labels
+        label_of = lambda x: rows.select(F.col("own.node").alias(x), F.col("label").alias(f"label_{x}")).distinct()
+        joined = fresh.join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        into = connected_components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        rows = live.drop("n").join(into, "label", "left").select("s", "own", "large", F.coalesce("to", "label").alias("label"))
+        found, turn = written(found.unionByName(fresh)), turn + 1
 
 
 def blockwise(rows: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
