@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialized
+from ..sources.tables import materialized, scope
+from .components import connected_components
 
 
 def existing_match(candidates: DataFrame, existing: DataFrame, keys: dict[str, list[str]], id_col: str = "id") -> DataFrame:
@@ -47,26 +51,62 @@ def seen_before(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return rows.withColumn("__key", key).withColumn("seen", F.col("__key").isNotNull() & (F.row_number().over(Window.partitionBy("__key").orderBy(*order)) > 1)).drop("__key")
 
 
-def greedy_accept(rows: DataFrame, rank: str, keys: list[str]) -> DataFrame:
+#: Rows of one component that a task decides in one pass.
+TOGETHER = 100_000
+
+
+def greedy_accept(rows: DataFrame, rank: str, keys: list[str], together: int = TOGETHER) -> DataFrame:
     """``rows`` with ``accepted``: what a scan in order of ``rank`` accepts that skips every row sharing a key with an accepted one.
 
-    Row by row is not needed: a row that is the first of all its keys among the
-    undecided is accepted, rows that share a key with an accepted one are dropped,
-    and this is repeated until nothing is undecided: the row of the least rank always
-    is decided, so any chain of shared keys comes to its end. ``rank`` must be unique;
-    null keys are shared with nobody. Each round reads what the last one wrote.
+    What the scan says of a row depends on earlier rows of its component alone: those
+    that chains of shared keys join it with. First, rows that come first at all their
+    keys are accepted and those that meet them dropped, which ends hot keys. The rest
+    is contracted into components. The first ``together`` rows of each are scanned in
+    one task; then rows of larger components that meet an accepted one are dropped,
+    and what is still undecided is contracted again. So rounds are as many as the
+    largest component has times ``together`` rows, at most, and one as a rule.
+    ``rank`` must be unique; null keys are shared with nobody.
     """
-    pairs = rows.select(F.col(rank).alias("r"), F.explode(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys))).alias("k")).where("k IS NOT NULL").distinct()
-    accepted = rows.select(F.col(rank).alias("r")).join(pairs.select("r").distinct(), "r", "left_anti")
-    undecided = materialized(pairs)
-    while not undecided.isEmpty():
-        first = undecided.groupBy("k").agg(F.min("r").alias("first"))
-        now = materialized(undecided.join(first, "k").groupBy("r").agg(F.min((F.col("r") == F.col("first")).cast("int")).alias("all_first")).where("all_first = 1").select("r"))
-        taken = undecided.join(now, "r", "left_semi").select("k").distinct()
-        lost = undecided.join(taken, "k", "left_semi").select("r").distinct()
-        undecided = materialized(undecided.join(lost, "r", "left_anti"))
-        accepted = accepted.unionByName(now)
-    joined = accepted.withColumn("accepted", F.lit(True))
+    kind = dict(rows.dtypes)[rank]
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        out = []
+        for r, ks in frame.sort_values("r")[["r", "ks"]].itertuples(index=False):
+            if taken.isdisjoint(ks):
+                taken.update(ks)
+                out.append(r)
+        return pd.DataFrame({"r": pd.Series(out, dtype=frame["r"].dtype)})
+
+    key = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string")))
+    with scope(rows.sparkSession):
+        pairs = rows.select(F.col(rank).alias("r"), F.explode(F.array(*map(key, keys))).alias("k")).where("k IS NOT NULL").distinct()
+        pairs = materialized(pairs)
+        accepted = [rows.select(F.col(rank).alias("r")).join(pairs.select("r").distinct(), "r", "left_anti")]
+
+        def without(undecided: DataFrame, now: DataFrame) -> DataFrame:
+            """The rows that share no key with those accepted ``now``, which go, too."""
+            met = undecided.join(undecided.join(now, "r", "left_semi").select("k").distinct(), "k", "left_semi").select("r").distinct()
+            return undecided.join(met, "r", "left_anti")
+
+        first = pairs.groupBy("k").agg(F.min("r").alias("first"))
+        now = materialized(pairs.join(first, "k").groupBy("r").agg(F.min(F.col("r") == F.col("first")).alias("all_first")).where("all_first").select("r"))
+        accepted.append(now)
+        undecided = materialized(without(pairs, now))
+        while not undecided.isEmpty():
+            # a collision of hashes makes one component of two, which changes nothing
+            node = F.xxhash64(F.lit("row"), "r")
+            grouped = undecided.groupBy("r").agg(F.collect_list("k").alias("ks"))
+            if undecided.select("r").distinct().count() <= together:  # no component has more rows than there are
+                grouped = grouped.select(F.lit(0).cast("long").alias("label"), "r", "ks")
+            else:
+                labels = connected_components(undecided.select(node.alias("a"), F.xxhash64(F.lit("key"), "k").alias("b")))
+                grouped = grouped.join(labels, node == F.col("node")).select("label", "r", "ks")
+            ahead = materialized(grouped.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("r"))).where(F.col("n") <= together).drop("n"))
+            now = materialized(ahead.groupBy("label").applyInPandas(scan, f"r {kind}"))
+            accepted.append(now)
+            undecided = materialized(without(undecided.join(ahead.select("r"), "r", "left_anti").unionByName(undecided.join(now, "r", "left_semi")), now))
+        joined = materialized(reduce(DataFrame.unionByName, accepted), outer=True).withColumn("accepted", F.lit(True))
     return rows.join(joined, rows[rank] == joined["r"], "left").drop("r").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 

@@ -210,7 +210,14 @@ def dedup_cascade(spark, d):
     return dedup.existing_match(rows, known, {"source_id": ["source_id"], "phone": ["phone"], "name_city": ["name", "city"]}).select("l_orderkey", "l_linenumber", "existing_id", "reason")
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey AS rank, o_custkey AS phone, strftime(o_orderdate, '%Y-%m-%d') AS instagram, o_orderstatus <> 'P' AS ok FROM orders),
+  scan AS (SELECT list_reduce(list({'r': rank, 'p': phone, 'i': instagram} ORDER BY rank) FILTER (ok), lambda a, x: CASE WHEN list_contains(a.p, x.p) OR list_contains(a.i, x.i) THEN a
+    ELSE {'r': list_append(a.r, x.r), 'p': list_append(a.p, x.p), 'i': list_append(a.i, x.i)} END, {'r': []::BIGINT[], 'p': []::BIGINT[], 'i': []::VARCHAR[]}).r AS taken FROM o),
+  a AS (SELECT rank, phone, instagram, row_number() OVER (ORDER BY rank) AS n FROM o JOIN (SELECT unnest(taken) AS rank FROM scan) USING (rank))
+  SELECT rank, o.phone, o.instagram, CASE WHEN a.n <= 50 THEN 'QUALIFIED' WHEN a.n IS NOT NULL THEN 'OVER_QUOTA' WHEN ok OR least(p.first, i.first) < rank THEN 'DUPLICATE' ELSE 'INELIGIBLE' END AS outcome
+  FROM o LEFT JOIN a USING (rank) LEFT JOIN (SELECT phone, min(rank) AS first FROM a GROUP BY 1) p ON p.phone = o.phone LEFT JOIN (SELECT instagram, min(rank) AS first FROM a GROUP BY 1) i ON i.instagram = o.instagram"""
+)
 def greedy_dedup_quota(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("rank"), F.col("o_custkey").alias("phone"), F.col("o_orderdate").cast("date").cast("string").alias("instagram"), (F.col("o_orderstatus") != "P").alias("on_whatsapp"))
     return dedup.accept_quota(rows, "rank", ["phone", "instagram"], 50, F.col("on_whatsapp")).select("rank", "phone", "instagram", "outcome")
@@ -311,25 +318,6 @@ def sync_funnel(spark, d):
     return f.withColumns({"status": scoring.run_status(saved, F.lit(50), technical), "exhausted": scoring.run_exhausted(saved, F.lit(50), technical)})
 
 
-NAMED_TAGS = (
-    (1, {"shop": "beauty", "beauty": "nails"}, "nails studio"), (2, {"shop": "beauty", "beauty": "nails;eyebrow"}, "bella"), (3, {"shop": "beauty", "beauty": "manicure; Pedicure"}, "bella"), (4, {"shop": "nail_salon"}, "studio"),
-    (5, {"shop": "beauty"}, "bella esmalteria"), (6, {"shop": "clothes"}, "bella esmalteria"), (7, {"shop": "beauty"}, "snail store"), (8, {"shop": " Beauty "}, "beleza pura"), (9, {"shop": "hairdresser", "beauty": "nails"}, ""), (10, {"amenity": "cafe"}, "unha"),
-)
-_ROWS = ", ".join(f"({i}, {t.get('shop')!r}, {t.get('beauty')!r}, {n!r})" for i, t, n in NAMED_TAGS).replace("None", "NULL")
-
-
-@query(
-    f"""WITH t AS (SELECT * FROM (VALUES {_ROWS}) v(id, shop, beauty, name)), m AS (SELECT *, lower(trim(shop)) AS s, list_transform(string_split(lower(coalesce(beauty, '')), ';'), lambda x: trim(x)) AS b FROM t),
-  r AS (SELECT *, coalesce(s IN ('beauty', 'hairdresser') AND list_has_any(b, ['nails', 'manicure', 'pedicure']) OR s = 'nail_salon', false) AS strong, coalesce(s IN ('beauty', 'hairdresser', 'nail_salon'), false) AS context,
-    list_bool_or(list_transform([{', '.join(repr(a) for a in niches.BY_NAME['nails'].evidence)}], lambda a: contains(' ' || name || ' ', ' ' || a || ' '))) AS named FROM m)
-  SELECT CAST(id AS BIGINT) AS id, CASE WHEN strong THEN 'STRUCTURED_RULE' WHEN context AND named THEN 'NAME_FALLBACK' ELSE 'NO_MATCH' END AS kind, strong OR context OR named AS potential FROM r"""
-)
-def rule_exact_token(spark, d):
-    rows = spark.createDataFrame(list(NAMED_TAGS), "id long, tags map<string,string>, name string")
-    nails = niches.BY_NAME["nails"]
-    return rows.select("id", niches.diagnosis(nails, F.col("tags"), F.col("name")).alias("kind"), niches.is_potential(nails, F.col("tags"), F.col("name")).alias("potential"))
-
-
 PHRASES = ("de la", "the and", "und der", "cc by", "mit license", "of the")
 
 
@@ -339,21 +327,6 @@ def name_phrase_match(spark, d):
     return t.select("doc_id", *(text.has_phrase(F.col("t"), F.lit(p)).alias(f"p{n}") for n, p in enumerate(PHRASES)))
 
 
-ASKED = ("Barbearia", "salão de beleza", "clínica de estética avançada", "padaria", "manicure e pedicure", "xyz desconhecido", "Advocacia Silva", "pet shop", "Depilação a Laser", "hair removal studio")
-
-
-@query(
-    f"""WITH q AS (SELECT CAST(row_number() OVER () AS BIGINT) AS id, a FROM (SELECT unnest([{', '.join(repr(a) for a in ASKED)}]) AS a)), k AS (SELECT id, regexp_replace(strip_accents(lower(trim(a))), '\\s+', ' ', 'g') AS key FROM q),
-  al AS (SELECT * FROM (VALUES {', '.join(f"({a!r}, {n!r}, {i})" for i, (a, n) in enumerate((a, niches.ALIASES[a]) for x in niches.NICHES for a in x.aliases))}) v(alias, niche, pos)),
-  m AS (SELECT id, key, alias, niche, row_number() OVER (PARTITION BY id ORDER BY alias = key DESC NULLS LAST, length(alias) DESC NULLS LAST, pos) AS r FROM k LEFT JOIN al ON contains(key, alias))
-  SELECT id, coalesce(niche, key) AS niche, alias FROM m WHERE r = 1"""
-)
-def niche_resolve(spark, d):
-    rows = spark.createDataFrame([(n + 1, a) for n, a in enumerate(ASKED)], "id long, a string")
-    found = niches.resolve(F.col("a"))
-    return rows.select("id", found["niche"].alias("niche"), found["alias"].alias("alias"))
-
-
 @query(
     """WITH s AS (SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 0 WHEN d.doc_id % 3 = 1 THEN 30 ELSE 15 END + CASE d.doc_id % 4 WHEN 0 THEN 20 WHEN 1 THEN 14 WHEN 2 THEN 8 ELSE 0 END + CASE WHEN source IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN lang = 'en' THEN 5 ELSE 0 END
     + CASE WHEN d.doc_id % 5 = 0 THEN 10 ELSE 0 END AS raw, CASE WHEN quality IS NOT NULL THEN quality * 80 + toxic * 7 END AS ai FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),

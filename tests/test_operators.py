@@ -51,8 +51,8 @@ def test_tiers(spark):
 
 
 def test_registered_niches():
-    assert len(niches.NICHES) == 20 and len(niches.ALIASES) > 110
-    assert all(set(n.only_names) <= set(n.aliases) for n in niches.NICHES)
+    assert len(niches.NICHES) == 20 and len({a for n in niches.NICHES for a in n.aliases}) > 110
+    assert all(set(n.evidence) <= set(n.aliases) for n in niches.NICHES)
 
 
 def test_eligibility_order(spark):
