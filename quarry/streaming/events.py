@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.scoring import after_failure
-
 
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """A table as a stream of its files; ``ts`` becomes an instant, so that it can bear a watermark."""
@@ -28,37 +27,38 @@ def progress(events: DataFrame, by: list[str], every: str = "1 hour", late: str
     return events.withWatermark("ts", late).groupBy(F.window("ts", every), *by).agg(F.count("*").alias("n"))
 
 
-BUCKET = "user_id long, allowed long, refused long"
+BUCKET = "user_id long, limited string, allowed long, refused long"
+#: Requests that a user may have in a window of so many seconds, by what is limited: all, and signing in.
+LIMITS = {"ALL": (200, 60), "AUTH": (20, 60)}
 
 
-def rate_limited(requests: DataFrame, capacity: int = 200, window_s: int = 60) -> DataFrame:
-    """Requests allowed and refused per user by a token bucket that refills in proportion to the time.
+def rate_limited(requests: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
+    """Requests (``user_id``, ``ts``, ``limited``) allowed and refused per user and limit by token buckets that refill in proportion to the time.
 
-    One state for each user: tokens left and the time of the last refill.
+    One state for each: tokens left and the second of the last refill. A trigger's
+    requests are counted by second, whatever frames they come in, and a second is one
+    step: as many as there are tokens are allowed. Requests of seconds before the last
+    refill add no tokens. What ``limits`` doesn't name isn't limited, and left out.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        capacity, window_s = limits[key[1]]
         left, last = state.get if state.exists else (capacity, None)
-        allowed = refused = 0
+        seconds: Counter = Counter()
         for frame in frames:
-            for t in frame["ts"].sort_values().astype("int64") // 10**9:
-                last = int(t) if last is None else last
-                refill = (int(t) - last) * capacity // window_s
-                if refill > 0:
-                    left, last = min(capacity, left + refill), int(t)
-                if left > 0:
-                    left, allowed = left - 1, allowed + 1
-                else:
-                    refused += 1
+            seconds.update((frame["ts"].astype("datetime64[s]").astype("int64")).tolist())
+        allowed = 0
+        for t in sorted(seconds):
+            refill = (t - last) * capacity // window_s if last is not None else 0
+            if refill > 0 or last is None:
+                left, last = min(capacity, left + refill), t
+            taken = min(left, seconds[t])
+            left, allowed = left - taken, allowed + taken
         state.update((int(left), int(last)))
-        yield pd.DataFrame({"user_id": [key[0]], "allowed": [allowed], "refused": [refused]})
-
-    return requests.groupBy("user_id").applyInPandasWithState(run, BUCKET, "left long, last long", "update", GroupStateTimeout.NoTimeout)
-
+        yield pd.DataFrame({"user_id": [key[0]], "limited": [key[1]], "allowed": [allowed], "refused": [seconds.total() - allowed]})
 
-def send_transitions(outcomes: DataFrame) -> DataFrame:
-    """What becomes of a send after each reported failure; needs no state, as the report carries the attempts."""
-    return outcomes.withColumn("next_status", F.when(F.col("code").isNull(), "SENT").otherwise(after_failure(F.col("code"), F.col("attempts"))))
+    known = requests.where(F.col("limited").isin(*limits) & F.col("ts").isNotNull())
+    return known.groupBy("user_id", "limited").applyInPandasWithState(run, BUCKET, "left long, last long", "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
