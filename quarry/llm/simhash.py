@@ -24,6 +24,8 @@ from .common import KeyFilter, runs_of_bytes, scope, small_batches, written
 from .components import connected_components
 
 BITS = 64
+#: Bytes of text whose shingles a task holds at once.
+RUN = 1 << 20
 #: Buckets up to this many fingerprints are compared pair by pair, larger ones through shared neighbours.
 SMALL_BUCKET = 16
 #: Counters (least and most of them, as powers of two) in which all shingles of all texts are counted, and those that travel together.
@@ -81,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in runs_of_bytes(batch, "t"):
+            for part in runs_of_bytes(batch, "t", RUN):
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(votes(*ragged(part.column("t").to_pylist(), words)).view(np.int64))], ["i", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
@@ -108,7 +110,7 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for part in runs_of_bytes(batch, "t"):
+            for part in runs_of_bytes(batch, "t", RUN):
                 for text in part.column("t").to_pylist():
                     np.add.at(counts, (shingle_set(text, words) >> np.uint64(64 - bits)).astype(np.int64), 1)
         some = [n for n in range(0, len(counts), CHUNK) if counts[n : n + CHUNK].any()]
@@ -150,7 +152,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for batch in batches:
-            for part in runs_of_bytes(batch, "t"):
+            for part in runs_of_bytes(batch, "t", RUN):
                 sets = [shingle_set(t, words) for t in part.column("t").to_pylist()]
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 sims = votes(np.concatenate(sets), np.cumsum(sizes))
@@ -172,7 +174,7 @@ def shingle_sets(docs: DataFrame, text_col: str, words: int, carry: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in runs_of_bytes(batch, "t"):
+            for part in runs_of_bytes(batch, "t", RUN):
                 sets = [shingle_set(t, words).view(np.int64) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(carry), pa.array(sets, pa.list_(pa.int64()))], [carry, "shingles"])
 
@@ -196,7 +198,7 @@ def judged_sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted:
         given: set[int] = set()
         for batch in batches:
             asked = batch.filter(pa.array(known.has(batch.column("row").to_numpy())))
-            for part in runs_of_bytes(asked, "t"):
+            for part in runs_of_bytes(asked, "t", RUN):
                 found = {xxh64_intdigest(x.tobytes(), 42): x.view(np.int64) for x in (shingle_set(t, words) for t in part.column("t").to_pylist())}
                 found = {fp: x for fp, x in found.items() if fp not in given}
                 given.update(found)
