@@ -151,7 +151,7 @@ def _walked(scripts: pd.Series) -> pd.Series:
         out: list[str] = []
         for part in parts if parts is not None else []:
             try:
-                _same_as(json.loads(part), out, 0)
+                _same_as(json.JSONDecoder().raw_decode(part.strip())[0], out, 0)  # what follows the first value is passed over
             except ValueError:
                 continue
         return out

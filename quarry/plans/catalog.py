@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, html, places
+from ..functions import codes, places
 from ..operators import pool
 from ..sources.tables import table
 from .crm import STATUSES, now, pick, query, sends, sql_in, sql_pick, stamp
@@ -191,14 +191,3 @@ def campaign_search(spark, d):
     found = table(spark, d, "orders").where(F.lower("o_orderpriority").contains("urg"))
     newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     return found.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), F.row_number().over(newest).alias("place"), F.col("o_custkey").alias("owner_id"))
-
-
-@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '551199' || lpad(CAST(page_id % 1000000 AS VARCHAR), 6, '0') WHEN page_id % 3 = 1 THEN '1133' || lpad(CAST(page_id % 1000000 AS VARCHAR), 6, '0')
-  ELSE list_filter(list_transform(regexp_extract_all(html, '(?i)(?:tel:|\+?[1-9]\d{1,2}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}'), lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^00', '')), lambda x: length(x) >= 8)[1] END AS phone FROM pages
-  WHERE NOT regexp_matches(html, '(?i)wa\.me/|whatsapp\.com/send|tel:')""")
-def chat_first_phones(spark, d):
-    """Pages without a link of that kind of their own, to two thirds of which one is added."""
-    n = F.lpad((F.col("page_id") % 1000000).cast("string"), 6, "0")
-    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a href="tel:00000000">a</a><a href="https://wa.me/%2B55%2011+99'), n, F.lit('?text=oi">b</a>'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<a href="tel:(11)%2033'), n, F.lit('">c</a>'))).otherwise("")
-    own = table(spark, d, "pages").where(~F.col("html").rlike("(?i)wa\\.me/|whatsapp\\.com/send|tel:"))
-    return own.select("page_id", html.chat_first_phone(F.concat("html", link)).alias("phone"))

@@ -363,18 +363,6 @@ def link_extract(spark, d):
     return h.select("page_id", F.size("h").cast("long").alias("n_links"), F.array_join("h", " ").alias("links"))
 
 
-@query()
-def page_contacts(spark, d):
-    """Links to hubs and contact pages, the first user, phone and mail address, and the booking system of every page."""
-    page, url, none = F.col("html"), F.col("url"), F.lit(None).cast("string")
-    booking = html.booking_system(url, html.first_instagram(page))  # signals count in addresses and handles, not in prose
-    phone = html.first_phone(page, none, "WEBSITE")
-    return table(spark, d, "pages").select(
-        "page_id", html.hub_links(url, page).alias("hubs"), html.contact_links(url, page).alias("contact_pages"), html.first_instagram(page).alias("instagram"), phone["number"].alias("phone"), phone["source"].alias("phone_source"),
-        html.first_email(page).alias("email"), booking["status"].alias("booking_status"), booking["system"].alias("booking_system"),
-    )
-
-
 NUMBERS = ("(11) 99999-9999", "11999999999", "+5511999999999", "005511999999999", "(11) 3456-3456", "99999-9999", "555511999999999", "+5565999999999; +5565888888888", "https://wa.me/5565999999999", "yes", "123", "5599999999", "0800123456", "+1 415 555 0132", "5555999999999")
 _RECIPIENTS = ("5511999999999", "5511999999999", "5511999999999", "5511999999999", "551134563456", None, None, "5565999999999", "5565999999999", None, None, "555599999999", None, "5514155550132", None)
 
@@ -414,18 +402,6 @@ def template_render(spark, d):
     return c.select(F.col("c_custkey").alias("lead_id"), message.alias("message"))
 
 
-LD = (
-    '<script type="application/ld+json">{"sameAs": "https://a.example/1"}</script>', '<script type="application/ld+json">{"sameAs": ["https://a.example/1", "https://b.example/2", "ftp://no"]}</script>',
-    '<script type="application/ld+json">[{"sameAs": "https://c.example"}]</script>', '<script type="application/ld+json">{"@graph": [{"x": {"sameAs": ["https://d.example"]}}]}</script>', '<script type="application/ld+json">{broken</script>', "no script",
-)
-
-
-@query()
-def jsonld_same_as(spark, d):
-    rows = spark.createDataFrame(list(enumerate(LD)), "id long, html string")
-    return rows.select("id", html.same_as(F.col("html")).alias("same_as"))
-
-
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY ALL")
 def idempotent_events(spark, d):
     return table(spark, d, "events").select("user_id", "event_type", "value").distinct().groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
