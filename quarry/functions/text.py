@@ -113,6 +113,12 @@ def with_scheme(x: Column) -> Column:
     return F.when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
 
 
+def normalize_url(x: Column) -> Column:
+    """An address with https:// in front if it has no scheme; null if it has no host."""
+    url = with_scheme(x)
+    return F.when(F.try_parse_url(url, F.lit("HOST")).isNotNull(), url)
+
+
 def website_host(x: Column) -> Column:
     """The host in lower case, without www.; what stands before the first slash if the address can't be parsed."""
     url = with_scheme(F.lower(x))

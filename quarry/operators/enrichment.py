@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
-from ..functions.text import instagram_user, present, with_scheme
+from ..functions.text import instagram_user, normalize_url, present
 
 #: Tags of websites and social pages in order, and the names of sources.
 SOCIAL_TAGS = ("contact:facebook", "facebook", "contact:telegram", "telegram")
@@ -21,12 +21,6 @@ LINK = "struct<rank:int,kind:string,url:string>"
 CONTACT = "struct<value:string,source:string,url:string>"
 
 
-def page_address(x: Column) -> Column:
-    """An address with a scheme and a host; null if it has none."""
-    url = with_scheme(x)
-    return F.when(F.try_parse_url(url, F.lit("HOST")).isNotNull(), url)
-
-
 def _first_tag(tags: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.trim(present(F.try_element_at(tags, F.lit(k)))) for k in keys))
 
@@ -62,7 +56,7 @@ def enrich(places: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame
     own = places.select(
         F.col(id_col).alias("id"), "name", F.col("country_code").alias("cc"), F.when(phone.isNotNull(), F.struct(phone["number"].alias("value"), phone["source"].alias("source"), F.lit(None).cast("string").alias("url"))).cast(CONTACT).alias("phone"),
         F.when(direct.isNotNull(), F.struct(direct.alias("value"), F.lit("DIRECT_OSM_INSTAGRAM").alias("source"), F.lit(None).cast("string").alias("url"))).cast(CONTACT).alias("instagram"),
-        page_address(_first_tag(tags, WEBSITE_TAGS)).alias("website"), F.when(social.startswith("http"), page_address(social)).alias("social"),
+        normalize_url(_first_tag(tags, WEBSITE_TAGS)).alias("website"), F.when(social.startswith("http"), normalize_url(social)).alias("social"),
     )
     open_ = own.where("phone IS NULL OR instagram IS NULL").select("id", "cc", "website", "social")
     read = lambda asked: asked.join(pages.select(F.col("url"), F.col("html")).where("html IS NOT NULL").join(asked.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html")), "url")

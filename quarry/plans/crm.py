@@ -197,17 +197,28 @@ def distinct_on_first(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT o_orderkey AS id, 'src_' || o_orderkey AS source_id, CAST(o_custkey AS VARCHAR) AS phone, o_orderpriority AS city, o_orderstatus AS name FROM orders WHERE o_orderstatus <> 'O'),
-  a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'src_' || l_orderkey END AS source_id, CASE WHEN l_linenumber < 4 THEN CAST(l_suppkey AS VARCHAR) END AS phone, l_returnflag AS name, CASE WHEN l_linenumber = 5 THEN '1-URGENT' END AS city FROM lineitem),
-  s AS (SELECT source_id, min(id) AS id FROM e GROUP BY 1), p AS (SELECT phone, min(id) AS id FROM e GROUP BY 1), n AS (SELECT name, city, min(id) AS id FROM e GROUP BY 1, 2)
-  SELECT l_orderkey, l_linenumber, coalesce(s.id, p.id, n.id) AS existing_id, CASE WHEN s.id IS NOT NULL THEN 'source_id' WHEN p.id IS NOT NULL THEN 'phone' WHEN n.id IS NOT NULL THEN 'name_city' END AS reason
-  FROM a LEFT JOIN s ON a.source_id = s.source_id LEFT JOIN p ON a.phone = p.phone LEFT JOIN n ON a.name = n.name AND a.city = n.city"""
+    """WITH e AS (SELECT o_orderkey AS id, 'src_' || o_orderkey AS source_id, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || (o_orderkey % 500) END AS instagram, CASE WHEN o_orderkey % 5 = 0 THEN 's' || (o_orderkey % 700) || '.example' END AS website,
+    CAST(o_custkey AS VARCHAR) AS phone, o_orderpriority AS city, o_orderstatus AS name FROM orders WHERE o_orderstatus <> 'O'),
+  a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'src_' || l_orderkey END AS source_id, CASE WHEN l_linenumber IN (2, 3) THEN 'u' || (l_partkey % 900) END AS instagram, CASE WHEN l_linenumber IN (3, 4) THEN 's' || (l_suppkey % 900) || '.example' END AS website,
+    CASE WHEN l_linenumber < 6 THEN CAST(l_suppkey AS VARCHAR) END AS phone, l_returnflag AS name, CASE WHEN l_linenumber > 4 THEN '1-URGENT' END AS city FROM lineitem),
+  s AS (SELECT source_id, min(id) AS id FROM e GROUP BY 1), i AS (SELECT instagram, min(id) AS id FROM e GROUP BY 1), w AS (SELECT website, min(id) AS id FROM e GROUP BY 1), p AS (SELECT phone, min(id) AS id FROM e GROUP BY 1), n AS (SELECT name, city, min(id) AS id FROM e GROUP BY 1, 2)
+  SELECT l_orderkey, l_linenumber, coalesce(s.id, i.id, w.id, p.id, n.id) AS existing_id, CASE WHEN s.id IS NOT NULL THEN 'source_id' WHEN i.id IS NOT NULL THEN 'instagram' WHEN w.id IS NOT NULL THEN 'website' WHEN p.id IS NOT NULL THEN 'phone' WHEN n.id IS NOT NULL THEN 'name_city' END AS reason
+  FROM a LEFT JOIN s ON a.source_id = s.source_id LEFT JOIN i ON a.instagram = i.instagram LEFT JOIN w ON a.website = w.website LEFT JOIN p ON a.phone = p.phone LEFT JOIN n ON a.name = n.name AND a.city = n.city"""
 )
 def dedup_cascade(spark, d):
-    known = table(spark, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), text.source_key(F.lit(None).cast("string"), F.col("o_orderkey").cast("string")).alias("source_id"), F.col("o_custkey").cast("string").alias("phone"), F.col("o_orderpriority").alias("city"), F.col("o_orderstatus").alias("name"))
+    """The first of all five keys by which a candidate is known: source, Instagram, website, phone, name and city."""
+    o, k = table(spark, d, "orders").where("o_orderstatus <> 'O'"), F.col("o_orderkey")
+    known = o.select(
+        k.alias("id"), text.source_key(F.lit(None).cast("string"), k.cast("string")).alias("source_id"), F.when(k % 3 == 0, text.instagram_handle(F.concat(F.lit("https://instagram.com/U"), (k % 500).cast("string"), F.lit("/")))).alias("instagram"),
+        F.when(k % 5 == 0, text.website_host(F.concat(F.lit("http://www.S"), (k % 700).cast("string"), F.lit(".example/x")))).alias("website"), F.col("o_custkey").cast("string").alias("phone"), F.col("o_orderpriority").alias("city"), F.col("o_orderstatus").alias("name"),
+    )
     line = F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").select("l_orderkey", line, F.when(line == 1, text.source_key(F.lit(None).cast("string"), F.col("l_orderkey").cast("string"))).alias("source_id"), F.when(line < 4, F.col("l_suppkey").cast("string")).alias("phone"), F.col("l_returnflag").alias("name"), F.when(line == 5, "1-URGENT").alias("city"))
-    return dedup.existing_match(rows, known, {"source_id": ["source_id"], "phone": ["phone"], "name_city": ["name", "city"]}).select("l_orderkey", "l_linenumber", "existing_id", "reason")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", line, F.when(line == 1, text.source_key(F.lit(None).cast("string"), F.col("l_orderkey").cast("string"))).alias("source_id"), F.when(line.isin(2, 3), text.instagram_handle(F.concat(F.lit("@u"), (F.col("l_partkey") % 900).cast("string")))).alias("instagram"),
+        F.when(line.isin(3, 4), text.website_host(F.concat(F.lit("s"), (F.col("l_suppkey") % 900).cast("string"), F.lit(".EXAMPLE")))).alias("website"), F.when(line < 6, F.col("l_suppkey").cast("string")).alias("phone"), F.col("l_returnflag").alias("name"), F.when(line > 4, "1-URGENT").alias("city"),
+    )
+    keys = {"source_id": ["source_id"], "instagram": ["instagram"], "website": ["website"], "phone": ["phone"], "name_city": ["name", "city"]}
+    return dedup.existing_match(rows, known, keys).select("l_orderkey", "l_linenumber", "existing_id", "reason")
 
 
 @query(

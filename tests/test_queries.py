@@ -1,7 +1,7 @@
 import pytest
 from oracle import connection, same
 
-from quarry.plans import catalog, contacts, crm, flows, outreach, registry  # noqa: F401, the others add their queries to those of crm
+from quarry.plans import catalog, contacts, crm, flows, outreach, places, registry  # noqa: F401, the others add their queries to those of crm
 
 
 @pytest.fixture(scope="module")
