@@ -166,12 +166,13 @@ def compressed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.where(finite(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("x"))
-    start = [r.x for r in rows.orderBy(F.col("id").isNull(), "id", "x").limit(entries).select("x").collect()]
-    size = len(start[0]) if start else 0
+    first = rows.orderBy(F.col("id").isNull(), "id", "x").select("x")
+    size = len(one.x) if (one := first.first()) else 0
+    start = [r.x for r in first.where(F.size("x") == size).limit(entries).collect()]
     most = float(math.isqrt((1 << 62) // max(size, 1)) // 2)
     integer = lambda x: F.floor(F.greatest(F.lit(-most), F.least(F.lit(most), x.cast("double") * scale))).cast("int")
     kept = rows.where(F.size("x") == size).select("id", "label", F.transform("x", integer).alias("v"))
-    seeds = np.array([[math.floor(max(-most, min(most, v * scale))) for v in x] for x in start if len(x) == size], np.int64).reshape(-1, size)
+    seeds = np.array([[math.floor(max(-most, min(most, v * scale))) for v in x] for x in start], np.int64).reshape(len(start), size)
     books = [Book(seeds[:, lo:hi]) for lo, hi in cuts(size, parts)] if start else [Book(np.zeros((1, 0), np.int64))] * parts
     state, path = written_at(assigned(kept, size, books, first=True))
     for _ in range(rounds):

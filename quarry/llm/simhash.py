@@ -452,8 +452,7 @@ def similar_links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, similari
             return found
         live = rows.join(parts.select("s", "n"), "s")
         if apart <= 4 * members or before and apart > 0.8 * before:
-            met = blockwise(live, rule).groupBy("a", "b").agg(F.count("*").alias("common"))
-            return found.unionByName(confirmed(enough(met, numbers, "small", similarity)))
+            return found.unionByName(confirmed(blockwise(live, numbers, similarity)))
         before = apart
         orders = [F.struct(-F.col("large"), "own.node"), *(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "own.node"), "own.node") for k in range(1, HUBS))]
         chosen = live.groupBy("s").agg(*(F.min_by(F.struct("own", "label"), o).alias(f"x{k}") for k, o in enumerate(orders))).select("s", F.array_distinct(F.array(*(f"x{k}" for k in range(HUBS)))).alias("hubs"))
@@ -470,12 +469,23 @@ def similar_links(pairs: DataFrame, shared: DataFrame, sets: DataFrame, similari
         found, turn = written(found.unionByName(fresh)), turn + 1
 
 
-def blockwise(rows: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
-    """``a``, ``b``: all pairs of ``rows`` (``s``, ``own``, ``label``, ``n``: the bucket's size) with one ``s``, two labels, that ``rule`` takes; BLOCK members at a time meet all others."""
+def blockwise(rows: DataFrame, numbers: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: the pairs of ``rows`` (``s``, ``own``, ``label``, ``n``: the bucket's size) with two labels that can have the similarity; BLOCK members at a time meet all others.
+
+    Each row brings its node's shingles in these buckets, so that a pair comes out of
+    the join once, at the least shingle it shares, and only if it shares enough (see
+    ``enough``; two labels have no other large bucket in common).
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    one = rows.select("s", F.pmod(F.xxhash64("own.node"), blocks).cast("int").alias("block"), F.col("own").alias("x"), F.col("label").alias("label_x"))
-    all_ = rows.select("s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("own").alias("y"), F.col("label").alias("label_y"))
-    met = one.join(all_, ["s", "block"]).where((F.col("x.node") < F.col("y.node")) & (F.col("label_x") != F.col("label_y")) & rule(F.col("x"), F.col("y")))
+    every = rows.groupBy(F.col("own.node").alias("node")).agg(F.sort_array(F.collect_set("s")).alias("all")).join(numbers.select("node", F.col("n").alias("size"), "small"), "node")
+    full = written(rows.select("s", F.col("own.node").alias("node"), "label", "n").join(every, "node").select("s", "label", "n", F.struct("node", F.col("size").alias("n"), "small", "all").alias("own")))
+    one = full.select("s", F.pmod(F.xxhash64("own.node"), blocks).cast("int").alias("block"), F.col("own").alias("x"), F.col("label").alias("label_x"))
+    all_ = full.select("s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("own").alias("y"), F.col("label").alias("label_y"))
+    x, y = F.col("x"), F.col("y")
+    common = F.array_intersect("x.all", "y.all")
+    after = F.ceil(F.round(F.greatest(x["n"], y["n"]) * similarity, 9)) - 1
+    reach = F.size(common) + F.least(x["small"], y["small"]) + after >= F.round((x["n"] + y["n"]) * similarity / (1 + similarity), 6)
+    met = one.join(all_, ["s", "block"]).where((x["node"] < y["node"]) & (F.col("label_x") != F.col("label_y")) & can_reach(x, y, similarity) & reach & (F.array_min(common) == F.col("s")))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
