@@ -22,12 +22,13 @@ COUNTRY_NAMES = {
     "mx": "México", "co": "Colômbia", "cl": "Chile", "pe": "Peru", "uy": "Uruguai", "py": "Paraguai", "bo": "Bolívia", "ec": "Equador", "ve": "Venezuela",
 }
 STATES = {
-    "centro-oeste": ("distrito federal", "df", "goias", "go", "mato grosso", "mt", "mato grosso do sul", "ms"),
-    "nordeste": ("alagoas", "al", "bahia", "ba", "ceara", "ce", "maranhao", "ma", "paraiba", "pb", "pernambuco", "pe", "piaui", "pi", "rio grande do norte", "rn", "sergipe", "se"),
-    "norte": ("acre", "ac", "amapa", "ap", "amazonas", "am", "para", "pa", "rondonia", "ro", "roraima", "rr", "tocantins", "to"),
-    "sudeste": ("espirito santo", "es", "minas gerais", "mg", "rio de janeiro", "rj", "sao paulo", "sp"),
-    "sul": ("parana", "pr", "rio grande do sul", "rs", "santa catarina", "sc"),
-}
+    "distrito federal": "centro-oeste", "df": "centro-oeste", "goias": "centro-oeste", "goiás": "centro-oeste", "go": "centro-oeste", "mato grosso": "centro-oeste", "mt": "centro-oeste", "mato grosso do sul": "centro-oeste", "ms": "centro-oeste",
+    "alagoas": "nordeste", "al": "nordeste", "bahia": "nordeste", "ba": "nordeste", "ceara": "nordeste", "ceará": "nordeste", "ce": "nordeste", "maranhao": "nordeste", "maranhão": "nordeste", "ma": "nordeste", "paraiba": "nordeste", "paraíba": "nordeste", "pb": "nordeste",
+    "pernambuco": "nordeste", "pe": "nordeste", "piaui": "nordeste", "piauí": "nordeste", "pi": "nordeste", "rio grande do norte": "nordeste", "rn": "nordeste", "sergipe": "nordeste", "se": "nordeste",
+    "acre": "norte", "ac": "norte", "amapa": "norte", "amapá": "norte", "ap": "norte", "amazonas": "norte", "am": "norte", "para": "norte", "pará": "norte", "pa": "norte", "rondonia": "norte", "rondônia": "norte", "ro": "norte", "roraima": "norte", "rr": "norte", "tocantins": "norte", "to": "norte",
+    "espirito santo": "sudeste", "espírito santo": "sudeste", "es": "sudeste", "minas gerais": "sudeste", "mg": "sudeste", "rio de janeiro": "sudeste", "rj": "sudeste", "sao paulo": "sudeste", "são paulo": "sudeste", "sp": "sudeste",
+    "parana": "sul", "paraná": "sul", "pr": "sul", "rio grande do sul": "sul", "rs": "sul", "santa catarina": "sul", "sc": "sul",
+}
 #: Keys of tags, the first that has a value counts.
 CITY_TAGS = ("addr:city", "addr:town", "addr:village", "addr:municipality")
 SUBURB_TAGS = ("addr:suburb", "addr:neighbourhood", "addr:district")
@@ -63,7 +64,8 @@ def country_name(code: Column) -> Column:
 
 def extract_of_state(state: Column) -> Column:
     """The extract that holds a state, given by name or code; null if there is none."""
-    return F.try_element_at(literal_map({s: region for region, states in STATES.items() for s in states}), normalize_key(state))
+    # names come without accents here, so the accented spellings stand for themselves only
+    return F.try_element_at(literal_map(STATES), normalize_key(state))
 
 
 def same_city(hit: Column, asked: Column) -> Column:

@@ -43,7 +43,7 @@ def countries_by_name(spark, d):
     return countries(spark, d).where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n")).select("code", places.country_name(F.col("code")).alias("name"), "n").orderBy("name")
 
 
-SQL_STATES = sql_map({s: region for region, states in places.STATES.items() for s in states})
+SQL_STATES = sql_map(places.STATES)
 
 
 @query(f"""SELECT id, {SQL_STATES}[{FOLD.format('state')}] AS extract, {FOLD.format('hit')} = {FOLD.format('asked')} AS same_city FROM

@@ -42,3 +42,17 @@ def test_one_send_is_claimed(spark):
     got = {r["id"]: (r["status"], r["attempts"], r["last_attempt_at"] is not None) for r in pool.claim_next(sends, F.lit("2025-01-01").cast("timestamp")).collect()}
     assert got == {1: ("QUEUED", 0, False), 2: ("QUEUED", 3, False), 3: ("SENDING", 2, True), 4: ("SENT", 2, False)}
     assert pool.claim_next(sends.limit(0), F.current_timestamp()).count() == 0
+
+
+def test_fixed_maps_as_written_out(spark):
+    code = places.country_code(F.col("x"), places.iso_countries(spark))
+    wanted = {"Brazil": "br", "united states of america": "us", "Portugal": "pt", "Alemanha": "de", "UK": "gb", "Espanha": "es", "Italy": "it", "Canadá": "ca", "Colômbia": "co", "perú": "pe", "Uruguai": "uy", "paraguay": "py", "Bolívia": "bo", "Ecuador": "ec", "Venezuela": "ve", "ad": "ad"}
+    assert dict(zip(wanted, values(spark, code, [(k,) for k in wanted], "x string"))) == wanted
+    names = {"us": "Estados Unidos", "de": "Alemanha", "gb": "Reino Unido", "fr": "França", "it": "Itália", "mx": "México", "uy": "Uruguai", "ec": "Equador"}
+    assert dict(zip(names, values(spark, places.country_name(F.col("x")), [(k,) for k in names], "x string"))) == names
+    extracts = {"df": "centro-oeste", "Goiás": "centro-oeste", "MT": "centro-oeste", "mato grosso do sul": "centro-oeste", "AL": "nordeste", "Ceará": "nordeste", "paraiba": "nordeste", "Rio Grande do Norte": "nordeste", "se": "nordeste", "Acre": "norte", "Amapá": "norte", "Pará": "norte", "to": "norte"}
+    assert dict(zip(extracts, values(spark, places.extract_of_state(F.col("x")), [(k,) for k in extracts], "x string"))) == extracts
+    errors = {"recipient_not_on_whatsapp": "RECIPIENT_NOT_ON_WHATSAPP", "invalid_recipient": "WHATSAPP_INVALID_RECIPIENT", "invalid_text": "WHATSAPP_INVALID_TEXT", "text_too_long": "WHATSAPP_TEXT_TOO_LONG", "session_not_connected": "WHATSAPP_NOT_CONNECTED", "invalid_request_id": "WHATSAPP_INVALID_REQUEST_ID"}
+    assert dict(zip(errors, values(spark, codes.remote_error(F.col("x"), F.lit(400)), [(k,) for k in errors], "x string"))) == errors
+    labels = {"NEW": "Novo", "MESSAGE_READY": "Mensagem pronta", "REPLIED": "Respondeu", "SCHEDULED": "Agendado", "NOT_INTERESTED": "Nao interessado", "DO_NOT_CONTACT": "Nao prospectar"}
+    assert dict(zip(labels, values(spark, codes.label(F.col("x"), codes.LEAD_LABELS), [(k,) for k in labels], "x string"))) == labels
