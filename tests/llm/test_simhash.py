@@ -261,3 +261,16 @@ def test_tables_of_a_scope_go_at_its_end(spark):
             inner.count()
     with pytest.raises(Exception):
         kept.count()
+
+
+@pytest.mark.parametrize("documents", [6_000, 12_000])
+def test_passages_that_many_share_make_no_pairs(spark, documents):
+    """A sentence of its own and one of 4,000 shared ones, twice over: shared shingles come last, whatever the size of the corpus."""
+    rng = random.Random(documents)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    shared = [" ".join(word() for _ in range(14)) for _ in range(4000)]
+    rows = [(n, " ".join([" ".join(word() for _ in range(14)), rng.choice(shared), " ".join(word() for _ in range(14)), rng.choice(shared)])) for n in range(documents)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = simhash.prefixes(docs, "doc_id", "text", 5, 0.8, simhash.shingle_counts(docs, "text", 5))
+    pairs = simhash.shared_shingles(prints).groupBy("s").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert (pairs or 0) < documents / 20
