@@ -40,8 +40,9 @@ def named_kind(url: Column) -> Column:
 def enrich(places: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame:
     """One row per place: id, ``phone`` and ``instagram`` (``value``, ``source``, ``url``), ``website``, ``official_text``, ``direct_phone``, ``direct_instagram``.
 
-    ``places``: tags, name, country_code. ``pages``: url, html; of several with one
-    url the least html counts, one that isn't there says nothing. Links are followed
+    ``places``: tags, name, country_code. ``pages``: url, html and, where the visible
+    text is at hand, text; of several with one url the least html counts, one that
+    isn't there says nothing. Links are followed
     in this order, as long as phone or Instagram is missing: the website; what its
     JSON-LD names as the same (an Instagram name if that is missing, a Facebook page
     if the phone is); two contact pages; three link collections; the website if it is
@@ -59,7 +60,8 @@ def enrich(places: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame
         normalize_url(_first_tag(tags, WEBSITE_TAGS)).alias("website"), F.when(social.startswith("http"), normalize_url(social)).alias("social"),
     )
     open_ = own.where("phone IS NULL OR instagram IS NULL").select("id", "cc", "website", "social")
-    read = lambda asked: asked.join(pages.select(F.col("url"), F.col("html")).where("html IS NOT NULL").join(asked.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("html").alias("html")), "url")
+    told = pages.select("url", "html", F.col("text") if "text" in pages.columns else F.lit(None).cast("string").alias("text")).where("html IS NOT NULL")
+    read = lambda asked: asked.join(told.join(asked.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min(F.struct("html", "text")).alias("p")), "url").select(*asked.columns, "p.html", "p.text")
     # the links of each site, found once
     sites = read(open_.select(F.col("website").alias("url")).where("url IS NOT NULL").distinct())
     found = sites.select("url", F.concat(_links(html.same_as(F.col("html")), 100, named_kind), _links(html.contact_links(F.col("url"), F.col("html")), 200, lambda u: F.lit("CONTACT")), _links(html.hub_links(F.col("url"), F.col("html")), 300, lambda u: F.lit("HUB"))).alias("links"))
@@ -71,7 +73,7 @@ def enrich(places: DataFrame, pages: DataFrame, id_col: str = "id") -> DataFrame
     # what a page says to those of one country, read once
     asked = links.where("kind <> 'NAMED'").select("url", "cc").distinct()
     number = html.first_phone(F.col("html"), F.col("cc"), "")
-    facts = read(asked).withColumn("n", number).select(F.col("url").alias("u"), F.col("cc").alias("c"), F.col("n.number").alias("number"), F.col("n.source").alias("how"), html.first_instagram(F.col("html")).alias("handle"), html.visible_text(F.col("html")).alias("text"))
+    facts = read(asked).withColumn("n", number).select(F.col("url").alias("u"), F.col("cc").alias("c"), F.col("n.number").alias("number"), F.col("n.source").alias("how"), html.first_instagram(F.col("html")).alias("handle"), F.coalesce("text", html.visible_text(F.col("html"))).alias("text"))
     seen = links.join(facts, (F.col("url") == F.col("u")) & F.col("cc").eqNullSafe(F.col("c")), "left")
     named = F.col("kind") == "NAMED"
     source = F.create_map(*(F.lit(x) for pair in SOURCES.items() for x in pair))[F.col("kind")]

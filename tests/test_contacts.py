@@ -1,8 +1,10 @@
 import pytest
+from oracle import connection, same
 from pyspark.sql import functions as F
 
 from quarry.functions import html
 from quarry.operators import enrichment
+from quarry.plans import contacts, crm  # noqa: F401, contacts adds its queries to those of crm
 
 LD = '<script type="application/ld+json">%s</script>'
 
@@ -41,3 +43,17 @@ def test_chains_of_odd_places(spark):
     assert got[7].website is None and got[8].phone.source == "DIRECT_OSM:phone" and got[8].instagram is None
     assert enrichment.enrich(places.limit(0), spark.createDataFrame(PAGES, "url string, html string")).count() == 0
     assert enrichment.enrich(places, spark.createDataFrame([], "url string, html string")).count() == len(PLACES)
+
+
+@pytest.mark.parametrize("name", ["enrichment_chain", "page_contacts"])
+def test_numbers_and_addresses_in_prose(spark, tmp_path, name):
+    own = '<p>that 4379362835490466 of, +55 (11) 98888-7777, a.50@mail6.example.com</p><a href="tel:11 97777-6666">t</a>'
+    spark.range(24).selectExpr("id AS page_id", "'https://x.example' AS url", f"'<html>{own}</html>' AS html").coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("part-*.parquet")).rename(tmp_path / "pages.parquet")
+    assert same(crm.QUERIES[name](spark, str(tmp_path)), connection(tmp_path), crm.ORACLE_SQL[name]) == 24
+
+
+def test_text_of_pages_that_is_at_hand(spark):
+    places = spark.createDataFrame([(1, {"website": "https://a.example"}, "A", "BR"), (2, {"website": "https://b.example"}, "B", "BR")], "id long, tags map<string,string>, name string, country_code string")
+    pages = spark.createDataFrame([("https://a.example", "<b>masked</b>", "as it was"), ("https://b.example", "<b>html</b>", None)], "url string, html string, text string")
+    assert {r.id: r.official_text for r in enrichment.enrich(places, pages).collect()} == {1: "A as it was ", 2: "B html "}
