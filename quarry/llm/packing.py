@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import TwoGenerations, runs_of_bytes, small_batches
 
 #: Chunks whose ids one worker keeps, in each of two generations.
-KEPT_CHUNKS = 150_000
+KEPT_CHUNKS = 300_000
 #: Share of a window that may stay free when nothing else fits into it.
 WASTE = 0.02
 #: Bits of a sequence id below the partition's number.

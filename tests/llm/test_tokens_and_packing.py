@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quarry.llm import packing, queries, token_counts
+from quarry.llm import common, packing, queries, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -128,3 +128,11 @@ def test_long_words_of_varied_letters():
     began = time.time()
     assert table.count(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))])[0] > 500_000
     assert time.time() - began < 60
+
+
+def test_chunks_of_several_tasks_are_kept():
+    asked = []
+    kept = common.TwoGenerations(lambda keys: asked.extend(keys) or keys, packing.KEPT_CHUNKS)
+    for n in (0, 1, 2, 0):
+        kept.load({b"%d" % k for k in range(n * 160_000, (n + 1) * 160_000)})
+    assert len(asked) == 480_000
