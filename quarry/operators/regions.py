@@ -49,15 +49,19 @@ def missing_references(elements: DataFrame, references: DataFrame, roots: DataFr
     closed if nothing is missing. Each round follows the references of all elements
     found in the last one, so there are as many as relations are nested; circles end.
     """
+    kinds = lambda df, c: [r[0] for r in df.select(c).distinct().collect()]  # noqa: E731, a few: nodes, ways, relations
     with scope(elements.sparkSession):
-        there = elements.select(*KEYS).distinct()
-        found = front = materialized(roots.select(*KEYS).distinct().join(there, KEYS, "left_semi"))
+        there = elements.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"))
+        named = roots.select(F.col("type").alias("to_type"), F.col("id").alias("to_id")).distinct()
+        found = front = materialized(named.join(there, ["to_type", "to_id"], "left_semi").select(F.col("to_type").alias("type"), F.col("to_id").alias("id")))
         missing = []
         while not front.isEmpty():
-            led = materialized(front.join(references.select(*KEYS, "to_type", "to_id"), KEYS).distinct())
-            known = there.select(F.col("type").alias("to_type"), F.col("id").alias("to_id"))
-            missing.append(led.join(known, ["to_type", "to_id"], "left_anti").select(*KEYS, "to_type", "to_id"))
-            front = materialized(led.join(known, ["to_type", "to_id"], "left_semi").select(F.col("to_type").alias("type"), F.col("to_id").alias("id")).distinct().join(found, KEYS, "left_anti"))
+            # only tables of the kinds at hand are read, and elements are met once
+            led = materialized(references.where(F.col("type").isin(kinds(front, "type"))).select(*KEYS, "to_type", "to_id").join(front, KEYS).distinct())
+            known = there.where(F.col("to_type").isin(kinds(led, "to_type"))).distinct().withColumn("there", F.lit(True))
+            led = materialized(led.join(known, ["to_type", "to_id"], "left"))
+            missing.append(led.where("there IS NULL").select(*KEYS, "to_type", "to_id"))
+            front = materialized(led.where("there").select(F.col("to_type").alias("type"), F.col("to_id").alias("id")).distinct().join(found, KEYS, "left_anti"))
             found = materialized(found.unionByName(front))
         none = references.select(*KEYS, "to_type", "to_id").limit(0)
         lost = materialized(reduce(lambda a, b: a.unionByName(b), missing, none).distinct(), outer=True)

@@ -44,3 +44,11 @@ def test_addresses_have_a_host(spark):
     rows = {" a.example/x ": "https://a.example/x", "HTTP://b.example": "HTTP://b.example", "http://": None, "": None, " ": None, None: None, "https:///path": None, "no host here": None}
     got = spark.createDataFrame([(k,) for k in rows], "u string").select("u", text.normalize_url(F.col("u")).alias("n")).collect()
     assert {r.u: r.n for r in got} == rows
+
+
+def test_only_references_of_the_kinds_at_hand_are_read(spark):
+    elements = spark.createDataFrame([("relation", 1), ("way", 2)], "type string, id long")
+    of = lambda kind, to: spark.range(1).selectExpr(f"'{kind}' AS type", "id + 1 AS id", "'way' AS to_type", f"{to} AS to_id")
+    references = of("relation", "id + 3").unionByName(of("node", "IF(id = 0, CAST(raise_error('a node was read') AS BIGINT), id)"))
+    found, missing = regions.missing_references(elements, references, elements.where("id = 1"))
+    assert found.count() == 1 and [tuple(r) for r in missing.collect()] == [("relation", 1, "way", 3)]
