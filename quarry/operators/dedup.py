@@ -12,22 +12,61 @@ from ..sources.tables import materialized, scope
 from .components import connected_components
 
 
-def existing_match(candidates: DataFrame, existing: DataFrame, keys: dict[str, list[str]], id_col: str = "id") -> DataFrame:
+#: Candidates that share a key from which on its rows are not dealt out by it.
+HOT = 100_000
+
+
+def existing_match(candidates: DataFrame, existing: DataFrame, keys: dict[str, list[str]], id_col: str = "id", hot: int = HOT) -> DataFrame:
     """``candidates`` with ``existing_id`` and ``reason``: the first of ``keys`` (reason: columns) that an existing row shares.
 
     Each key is one equi-join with a table of least ids by key, so nothing depends on
-    a disjunction; null key columns match nothing.
+    a disjunction; null key columns match nothing. Rows are dealt out by a hash of the
+    key, those without one by a hash of the whole row. So are rows of keys that more
+    than ``hot`` candidates have: of these keys, which are one in ``hot`` rows at most,
+    the ids go to all tasks.
     """
-    out, ids, reasons = candidates, [], []
+    hash_of = lambda cols: F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols)), F.xxhash64(*cols))
+    met = candidates.select(F.explode(F.array(*(F.struct(F.lit(n).alias("n"), hash_of(cols).alias("h")) for n, cols in enumerate(keys.values())))).alias("k")).select("k.*").where("h IS NOT NULL")
+    crowded = materialized(met.groupBy("n", "h").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("n", "h"))
+    kinds = {r.n for r in crowded.select("n").distinct().collect()}
+    row = F.xxhash64(*(c for c, kind in candidates.dtypes if "map<" not in kind))
+    out, ids, reasons = candidates.withColumn("__row", row), [], []
     for n, (reason, cols) in enumerate(keys.items()):
-        own = existing.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)).groupBy(*(F.col(c).alias(f"__{n}_{c}") for c in cols)).agg(F.min(id_col).alias(f"__id{n}"))
-        on = None
-        for c in cols:
-            on = (F.col(c) == F.col(f"__{n}_{c}")) if on is None else on & (F.col(c) == F.col(f"__{n}_{c}"))
-        out = out.join(own, on, "left").drop(*(f"__{n}_{c}" for c in cols))
+        named = [F.col(c).alias(f"__{n}_{c}") for c in cols]
+        own = existing.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)).groupBy(*named).agg(F.min(id_col).alias(f"__id{n}")).withColumn(f"__to{n}", F.xxhash64(*(f"__{n}_{c}" for c in cols)))
+        same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{n}_{c}") for c in cols))
+        out, found = out.withColumn(f"__h{n}", hash_of(cols)), F.lit(None)
+        if n in kinds:
+            here = crowded.where(F.col("n") == n).select(F.col("h").alias(f"__hot{n}"))
+            known = materialized(own.join(F.broadcast(here), F.col(f"__to{n}") == F.col(f"__hot{n}")).select(*(f"__{n}_{c}" for c in cols), F.col(f"__id{n}").alias(f"__far{n}")))
+            out = out.join(F.broadcast(here), F.col(f"__h{n}") == F.col(f"__hot{n}"), "left").join(F.broadcast(known), same, "left").drop(*(f"__{n}_{c}" for c in cols))
+            out, found = out.withColumn(f"__h{n}", F.when(F.col(f"__hot{n}").isNull(), F.col(f"__h{n}"))).drop(f"__hot{n}"), F.col(f"__far{n}")
+        out = out.withColumn(f"__h{n}", F.coalesce(f"__h{n}", "__row"))
+        out = out.join(own, (F.col(f"__h{n}") == F.col(f"__to{n}")) & same, "left").drop(f"__h{n}", f"__to{n}", *(f"__{n}_{c}" for c in cols))
+        out = out.withColumn(f"__id{n}", F.coalesce(F.col(f"__id{n}"), found)).drop(f"__far{n}")
         ids.append(F.col(f"__id{n}"))
         reasons.append(F.when(F.col(f"__id{n}").isNotNull(), F.lit(reason)))
-    return out.withColumns({"existing_id": F.coalesce(*ids), "reason": F.coalesce(*reasons)}).drop(*(f"__id{n}" for n in range(len(keys))))
+    return out.withColumns({"existing_id": F.coalesce(*ids), "reason": F.coalesce(*reasons)}).drop("__row", *(f"__id{n}" for n in range(len(keys))))
+
+
+#: Pairs that a block of ``every_pair`` makes, about.
+PAIRS = 2_000_000
+
+
+def every_pair(left: DataFrame, right: DataFrame, keys: list[str], most: int = PAIRS) -> DataFrame:
+    """The pairs of rows with equal ``keys``, as an inner join gives them.
+
+    Their number grows with the product of both sides, so a key's rows of ``left`` are
+    cut into blocks that make about ``most`` pairs each with all of ``right``, and the
+    blocks are dealt out to as many tasks as the pairs need, not the rows.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    sizes = materialized(count(left, "__l").join(count(right, "__r"), keys).select(*keys, F.least(F.ceil(F.col("__l") * F.col("__r") / most), "__l").cast("int").alias("__blocks")))
+    tasks = min(10_000, sizes.agg(F.coalesce(F.sum("__blocks"), F.lit(0))).first()[0] + 1)
+    one = left.join(sizes, keys).withColumn("__block", F.pmod(F.xxhash64(*left.columns), F.col("__blocks")).cast("int")).drop("__blocks")
+    all_ = right.join(sizes, keys).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    dealt = lambda df: df.repartition(tasks, *keys, "__block")
+    return dealt(one).join(dealt(all_), [*keys, "__block"]).drop("__block")
 
 
 def without_existing(candidates: DataFrame, existing: DataFrame, keys: list[tuple[Column, Column]]) -> DataFrame:

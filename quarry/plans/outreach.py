@@ -142,9 +142,9 @@ def newest_first(spark, d):
 
 @query(f"""SELECT c_custkey AS place_id, s_suppkey AS target_id FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment = {sql_pick(('BUILDING', 'MACHINERY', 'AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD'), 's_suppkey')}""")
 def places_of_targets(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id"), "s_nationkey", pick(("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD"), F.col("s_suppkey")).alias("niche"))
-    c = table(spark, d, "customer")
-    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_mktsegment") == F.col("niche"))).select(F.col("c_custkey").alias("place_id"), "target_id")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id"), F.col("s_nationkey").alias("region"), pick(("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD"), F.col("s_suppkey")).alias("niche"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("place_id"), F.col("c_nationkey").alias("region"), F.col("c_mktsegment").alias("niche"))
+    return dedup.every_pair(c, s, ["region", "niche"]).select("place_id", "target_id")
 
 
 @query("""SELECT c_custkey AS id, coalesce(t.target, -1) AS target_id FROM customer LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS target FROM supplier GROUP BY 1) t ON c_nationkey = s_nationkey""")

@@ -123,3 +123,30 @@ def test_blocking_sends_of_other_campaigns(spark):
     assert codes[1, 1] == "ALREADY_SENT" and codes[2, 1] == "ALREADY_QUEUED" and codes[1, 2] == "ALREADY_QUEUED" and codes[2, 2] == "ALREADY_SENT"
     assert [codes[1, i] for i in (3, 4, 5, 6)] == ["INVALID_PHONE", "NO_PHONE", "DO_NOT_CONTACT", None] and codes[2, 6] == "WRONG_CAMPAIGN"
     assert got[1, 1].score == 80 and got[1, 1].n_sends == 2 and (got[1, 6].latest_status, got[1, 6].attempts, got[1, 6].eligible) == ("FAILED", 3, True)
+
+
+def test_keys_that_many_candidates_share_or_lack(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 AND id < 60 THEN concat('k', id) END AS phone", "CASE WHEN id % 2 = 0 THEN 'n' END AS name", "CASE WHEN id % 4 = 0 THEN 'c' END AS city")
+    known = spark.createDataFrame([(9, "a", None, None), (7, "a", "n", None), (5, "k4", "n", "c"), (8, "k4", None, "c"), (6, "k7", "m", "c")], "id long, phone string, name string, city string")
+    keys = {"phone": ["phone"], "name_city": ["name", "city"]}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = dedup.existing_match(rows, known, keys)
+        dealt = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(dealt) < 1500  # no key, and a missing one, takes most rows to one task
+        for got in (out, dedup.existing_match(rows, known, keys, hot=100)):
+            got = {r.id: (r.existing_id, r.reason) for r in got.collect()}
+            assert got == {n: (7, "phone") if n % 3 == 0 else ({4: 5, 7: 6}[n], "phone") if n in (4, 7) else (5, "name_city") if n % 4 == 0 else (None, None) for n in range(3000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_of_one_key_are_dealt_out(spark):
+    left, right = spark.range(200).selectExpr("id AS a", "IF(id < 190, 1, id) AS k", "'x' AS j"), spark.range(50).selectExpr("id AS b", "IF(id < 45, 1, 195) AS k", "'x' AS j")
+    out = dedup.every_pair(left, right, ["k", "j"], most=500)
+    assert sorted((r.a, r.b) for r in out.collect()) == sorted([(a, b) for a in range(190) for b in range(45)] + [(195, b) for b in range(45, 50)])
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 190 * 45 / 2
+    assert dedup.every_pair(left.limit(0), right, ["k", "j"]).count() == 0
