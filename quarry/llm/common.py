@@ -118,19 +118,30 @@ class KeyFilter:
     through, and the join behind it does all the work.
     """
 
-    BITS = 25
+    BITS, CHUNK = 25, 1 << 13
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @classmethod
     def of(cls, keys: DataFrame, column: str) -> KeyFilter:
-        """The filter of a column of ``keys``: 2 ** (BITS - 6) longs reach the driver at most."""
+        """The filter of a column of ``keys``. Its 2 ** (BITS - 6) longs are put together by tasks, and reach the driver as bytes, CHUNK longs in a row."""
         mask = (1 << cls.BITS) - 1
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunks: dict[int, np.ndarray] = {}
+            for batch in batches:
+                word, bits = batch.column("word").to_numpy(), batch.column("bits").to_numpy().view(np.uint64)
+                for n in np.unique(word // cls.CHUNK).tolist():
+                    own = word // cls.CHUNK == n
+                    chunks.setdefault(n, np.zeros(cls.CHUNK, np.uint64))[word[own] % cls.CHUNK] = bits[own]
+            yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], ["chunk", "words"])
+
         places = F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, 32).bitwiseAND(F.lit(mask)))
-        found = keys.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        found = keys.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
         words = np.zeros(1 << (cls.BITS - 6), dtype=np.uint64)
-        words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+        for r in found.repartition(F.floor(F.col("word") / cls.CHUNK)).mapInArrow(packed, "chunk long, words binary").collect():
+            words[r.chunk * cls.CHUNK : (r.chunk + 1) * cls.CHUNK] = np.frombuffer(r.words, np.uint64)
         return cls(words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
