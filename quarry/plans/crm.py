@@ -413,6 +413,13 @@ def template_render(spark, d):
     return c.select(F.col("c_custkey").alias("lead_id"), message.alias("message"))
 
 
+#: Pages with JSON-LD that tests read.
+LD = (
+    '<script type="application/ld+json">{"sameAs": "https://a.example/1"}</script>', '<script type="application/ld+json">{"sameAs": ["https://a.example/1", "https://b.example/2", "ftp://no"]}</script>',
+    '<script type="application/ld+json">[{"sameAs": "https://c.example"}]</script>', '<script type="application/ld+json">{"@graph": [{"x": {"sameAs": ["https://d.example"]}}]}</script>', '<script type="application/ld+json">{broken</script>', "no script",
+)
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY ALL")
 def idempotent_events(spark, d):
     return table(spark, d, "events").select("user_id", "event_type", "value").distinct().groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
