@@ -1,60 +1,27 @@
 """Chains of accepted events: each accepts the first one that comes a certain time after it, and answers those in between.
 
-The chain is followed by pointers that double their reach, so neither a hot key nor a
-long chain is walked by one task.
+The chain is followed by pointers that double their reach, within a task and from span to
+span of a hot key, so neither that nor a long chain is walked by one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialized, scope
+from .limits import _same, refilled
 
 
-def _same(keys: list[str], left: str, right: str) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
-
-
-def _next_times(times: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """``keys``, ``t``, ``next``: for each of the different ``times`` the first one ``gap`` or more after it, if there is one.
-
-    Time is cut into buckets of ``gap``. What is asked for lies in the next bucket,
-    where times and questions are sorted together, or is the first of a later one.
-    """
-    bucket = lambda t: F.floor(t / gap)
-    none = F.lit(None).cast("long")
-    own = times.select(*keys, bucket(F.col("t")).alias("b"), F.col("t").alias("at"), F.col("t").alias("own"), none.alias("asks"))
-    asks = times.select(*keys, bucket(F.col("t") + gap).alias("b"), (F.col("t") + gap).alias("at"), none.alias("own"), F.col("t").alias("asks"))
-    down = Window.partitionBy(*keys, "b").orderBy(F.col("at").desc(), F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    inside = own.unionByName(asks).withColumn("next", F.last("own", ignorenulls=True).over(down)).where("asks IS NOT NULL").select(*keys, F.col("asks").alias("t"), "next")
-    firsts = times.groupBy(*keys, bucket(F.col("t")).alias("b")).agg(F.min("t").alias("first"))
-    along = Window.partitionBy(*keys).orderBy("b")
-    lead = lambda n: F.lead(F.struct("b", "first"), n).over(along)
-    later = firsts.withColumns({"one": lead(1), "two": lead(2)}).select(*keys, "b", F.when(F.col("one.b") > F.col("b") + 1, F.col("one.first")).otherwise(F.col("two.first")).alias("later"))
-    found = inside.withColumn("b", bucket(F.col("t"))).alias("l").join(later.alias("r"), _same(keys, "l", "r") & (F.col("l.b") == F.col("r.b")))
-    return found.select(*(F.col(f"l.{k}") for k in keys), "t", F.coalesce("next", "later").alias("next"))
-
-
-def accepted_times(events: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
+def accepted_times(events: DataFrame, keys: list[str], at: str, gap: int, most: int | None = None) -> DataFrame:
     """``keys``, ``t``: of each key the first time, then the first one ``gap`` or more after that, and so on.
 
     ``at`` is a whole number (of seconds, say); rows without one have no part in it.
-    Null keys are a key like any other.
+    Null keys are a key like any other. It is what a bucket of one token is refilled
+    at; keys with more than ``most`` events are cut into spans as there.
     """
-    with scope(events.sparkSession):
-        times = materialized(events.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("long").alias("t")).distinct())
-        hops = [materialized(_next_times(times, keys, gap).where("next IS NOT NULL"))]
-        while not hops[-1].isEmpty():
-            near, far = hops[-1].alias("l"), hops[-1].alias("r")
-            hops.append(materialized(near.join(far, _same(keys, "l", "r") & (F.col("l.next") == F.col("r.t"))).select(*(F.col(f"l.{k}") for k in keys), "l.t", "r.next")))
-        marked = materialized(times.groupBy(*keys).agg(F.min("t").alias("t")))
-        for hop in reversed(hops[:-1]):  # places in the chain are sums of powers of two
-            reached = marked.alias("l").join(hop.alias("r"), _same(keys, "l", "r") & (F.col("l.t") == F.col("r.t"))).select(*(F.col(f"l.{k}") for k in keys), F.col("r.next").alias("t"))
-            marked = materialized(marked.unionByName(reached))
-        return materialized(marked, outer=True)
+    return refilled(events, keys, at, 1, gap, most).where("refills").select(*keys, F.col("second").alias("t"))
 
 
 def replayed(requests: DataFrame, keys: list[str], at: str, id_col: str, ttl: int = 600) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import limits, replay
 from quarry.plans import flows
+from quarry.sources import tables
 from quarry.streaming import events, sends
 
 
@@ -55,6 +56,41 @@ def test_token_buckets_equal_a_walk(spark, capacity, window, span):
     assert all(r.allowed + r.refused == r.n for r in got)
 
 
+@pytest.mark.parametrize("capacity,window,span,rows_at_once", [(5, 60, 400, 7), (200, 60, 30, 1000), (3, 1000, 200_000, 50)])
+def test_buckets_of_busy_keys(spark, monkeypatch, capacity, window, span, rows_at_once):
+    monkeypatch.setattr(limits, "CHUNK", rows_at_once)
+    monkeypatch.setattr(limits, "TIMES", 2)
+    monkeypatch.setattr(limits, "LEAST", 1)
+    random.seed(capacity + window)
+    rows = [(random.choice(("a", "a", "a", "b", None)), random.choice((random.randrange(-span, span), random.randrange(span // 10 + 1))), random.choice((1, None))) for _ in range(1500)]
+    df = spark.createDataFrame([*rows, ("rare", 3, 1), ("rare", None, 1)], "u string, t long, v long").repartition(3)
+    got = limits.token_buckets(df, ["u", "v"], "t", capacity, window, most=100).collect()
+    for key in {(u, v) for u, _, v in rows}:
+        count = {}
+        for u, t, v in rows:
+            if (u, v) == key:
+                count[t] = count.get(t, 0) + 1
+        assert {r.second: (r.n, r.allowed) for r in got if (r.u, r.v) == key} == {t: (count[t], n) for t, n in bucket(count, capacity, window).items()}
+    assert [(r.second, r.n, r.allowed) for r in got if r.u == "rare"] == [(3, 1, 1)]
+    assert len(got) == len({(u, t, v) for u, t, v in rows}) + 1
+    marks = {(r.u, r.t) for r in replay.accepted_times(df, ["u"], "t", window, most=100).collect()}
+    want = set()
+    for key in ("a", "b", None):
+        last = None
+        for t in sorted({t for u, t, _ in rows if u == key}):
+            if last is None or t >= last + window:
+                want.add((key, last := t))
+    assert marks == want | {("rare", 3)}
+
+
+def test_chains_are_not_written_hop_by_hop(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tables, "written_at", lambda df, at=tables.written_at: written.append(df) or at(df))
+    df = spark.range(5000).selectExpr("id % 2 AS k", "id * 3 AS t", "id")
+    assert limits.token_buckets(df, ["k"], "t", 2, 60).count() == 5000 and len(written) <= 1
+    assert replay.replayed(df, ["k"], "t", "id", 60).where("NOT replay").count() == 2 * 250 and len(written) <= 2
+
+
 def test_buckets_in_a_stream(spark, tmp_path):
     rows = [(n % 3, n // 40, "AUTH" if n % 2 else "ALL") for n in range(4000)] + [(1, None, "ALL"), (1, 5, "OTHER")]
     df = spark.createDataFrame(rows, "user_id long, s long, limited string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
